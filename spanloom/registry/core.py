@@ -397,7 +397,7 @@ _RUNS = """er AS (SELECT platform, session_id, max(CASE WHEN is_error THEN n ELS
     FROM ev WHERE t = 'tool_result') GROUP BY platform, session_id, is_error, g) GROUP BY platform, session_id)"""
 _add("error_runs", lambda s, d: review.error_runs(V.events(s, d)), with_views(f"+{_RUNS} SELECT * FROM er", "ev"))
 _add("recovery_shape", lambda s, d: review.recovery_shape(V.events(s, d).withColumn("args", F.col("command"))), with_views(
-    """+rk AS (SELECT *, count(*) FILTER (WHERE t = 'tool_call') OVER w AS k, last_value(CASE WHEN t = 'tool_call' THEN tool_name END IGNORE NULLS) OVER w AS ft,
+    """+rk AS (SELECT * EXCLUDE (k), count(*) FILTER (WHERE t = 'tool_call') OVER w AS k, last_value(CASE WHEN t = 'tool_call' THEN tool_name END IGNORE NULLS) OVER w AS ft,
     last_value(CASE WHEN t = 'tool_call' THEN command END IGNORE NULLS) OVER w AS fa FROM ev WHERE t = 'tool_call' OR is_error
     WINDOW w AS (PARTITION BY platform, session_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
     c AS (SELECT platform, session_id, k, tool_name AS nt, command AS na FROM rk WHERE t = 'tool_call'),
