@@ -7,6 +7,9 @@ two steps: inside the chunk with an ordinary window, and across chunks with a
 window over one summary row per chunk.  A session holding a third of all rows is
 thus spread over as many tasks as it has chunks.  Keys with a single chunk get no
 carry row at all, so the join that adds the carry is tiny for ordinary data.
+
+A scan reads its input twice (rows and chunk summaries).  Operators that need one
+scan on top of another therefore cut the lineage of the narrow rows in between.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.session import cut_lineage
+
 CHUNK_ROWS = 65_536
 CHUNK = "__chunk"
 
@@ -197,7 +202,7 @@ def stack_pairs(
     out = scan(df, keys, order, sums={"__sum": step}, floors={"__low": step}, width=width)
     lost = closes & (F.col("__low") < F.col("__low_before"))
     depth = F.col("__sum") - F.col("__low")
-    out = out.withColumn("__level", F.when(opens, depth).when(closes & ~lost, depth + 1))
+    out = cut_lineage(out.withColumn("__level", F.when(opens, depth).when(closes & ~lost, depth + 1)))
     out = scan(
         out, [*keys, "__level"], order, befores={"partner": F.when(opens, F.col(order))}, width=width
     )

@@ -126,6 +126,9 @@ def shutdown_totals(shutdowns: DataFrame) -> DataFrame:
     inner = F.coalesce(F.try_variant_get("a", "$.modelMetrics", "map<string,variant>"), blank)
     agent = _model_sums(per_agent.select(*keys, "agent", F.explode(inner).alias("name", "m")), [*keys, "agent"])
     agent = per_agent.select(*keys, "agent").join(agent, [*keys, "agent"], "left")
+    good = agent.groupBy(*keys).agg(F.bool_and(F.coalesce("readable", F.lit(False))).alias("all_readable"))
+    session_ok = session.select(*keys, F.coalesce("readable", F.lit(False)).alias("session_readable"))
+    agent = agent.join(good, keys).join(session_ok, keys).withColumn("readable", F.col("all_readable") & F.col("session_readable"))
     cols = [*keys, "agent", "readable", *METRICS]
     return session.select(*cols).unionByName(agent.select(*cols)).withColumn("readable", F.coalesce("readable", F.lit(False)))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.ordered import CHUNK_ROWS, number, number_by, scan
 from spanloom.operators.lineage import resolve_roots
+from spanloom.session import cut_lineage
 
 SESSION = ["platform", "session_id"]
 IDENTITY = ["agent_id", "parent_tool_call_id", "model"]
@@ -124,7 +125,9 @@ def ordered_matches(calls: DataFrame, usage: DataFrame, *, width: int = CHUNK_RO
     right = number_by(
         _plain(placed, IDENTITY), KEY, F.substring("begun", 1, 13), [F.col("begun"), F.col("cycle_key"), F.col("call_id")], "k"
     ).select(*KEY, "k", "call_id", "has_tools", "has_finish")
-    pairs = left.join(right, [*KEY, "k"]).withColumn("ok", finish_matches(F.col("has_tools"), F.col("has_finish")))
+    agrees = finish_matches(F.col("has_tools"), F.col("has_finish"))
+    pairs = left.join(right, [*KEY, "k"]).select(*KEY, "k", "logical_call_id", "call_id", agrees.alias("ok"))
+    pairs = cut_lineage(pairs)
     pairs = scan(pairs, KEY, "k", sums={"broken": F.when(F.col("ok"), 0).otherwise(1)}, width=width)
     return pairs.where("broken = 0").select(*SESSION, "logical_call_id", F.col("call_id").alias("ordered_call"))
 
@@ -160,8 +163,9 @@ def attribute_usage(
     of the same interaction.  A call claimed twice makes all its claimants conflicting.
     """
     key = [*SESSION, "logical_call_id"]
-    rooted = root_calls(with_tools(calls, call_tools), call_tools)
-    order = interaction_order(rooted)
+    rooted = cut_lineage(root_calls(with_tools(calls, call_tools), call_tools))
+    order = cut_lineage(interaction_order(rooted))
+    usage = cut_lineage(usage)
     out = usage.join(ordered_matches(rooted, usage), key, "left").join(inferred_candidates(rooted, usage, order), key, "left")
     out = out.join(order.select(*SESSION, "turn_index", "interaction", F.col("stored_turn_id").alias("index_turn")), [*SESSION, "turn_index"], "left")
     if usage_ids is not None and call_ids is not None:

@@ -76,6 +76,7 @@ def pair_tools_with_fallback(events: DataFrame, *, width: int = CHUNK_ROWS, fan:
     to chunks ``fan`` times as wide, until one chunk spans the longest session.
     """
     tools = events.where(F.col("t").isin("tool_call", "tool_result"))
+    tools = cut_lineage(tools.select(*SESSION, "seq", "t", "tool_use_id"))
     has_id = F.coalesce(F.col("tool_use_id") != "", F.lit(False))
     cell = F.struct(F.col("t").alias("t"), F.col("seq").alias("seq"))
     ided = scan(tools.where(has_id), [*SESSION, "tool_use_id"], "seq", befores={"__prev": cell}, width=width)
@@ -182,7 +183,7 @@ def pair_two_sided(events: DataFrame, *, width: int = CHUNK_ROWS) -> DataFrame:
         F.coalesce(F.col("instant"), F.lit(False)).alias("instant"),
     )
     at_once = keyed.where("instant").select(*scope, F.col("seq").alias("call_seq"), F.col("seq").alias("result_seq"))
-    rest = keyed.where("not instant")
+    rest = cut_lineage(keyed.where("not instant"))
     mixed = rest.where("bare").select(*group).distinct()
     by_key = rest.where("has_id").unionByName(rest.where("not has_id").join(mixed, group, "left_anti").select(*rest.columns))
     numbered = scan(by_key, [*scope, "pair_key", "t"], "seq", sums={"k": F.lit(1)}, width=width)
@@ -239,7 +240,8 @@ def subagent_windows(events: DataFrame, *, width: int = CHUNK_ROWS) -> DataFrame
     start = (F.col("t") == "subagent_start") & named & ~F.coalesce(dispatch, F.lit(False))
     stop = (F.col("t") == "subagent_message") & named
     rows = events.where(dispatch | start | stop)
-    queued = queue_pairs(rows, SESSION, "seq", dispatch, start, width=width)
+    rows = rows.select(*SESSION, "seq", "t", "tool_name", "agent_id")
+    queued = cut_lineage(queue_pairs(rows, SESSION, "seq", dispatch, start, width=width))
     tasks = queued.where(dispatch & F.col("pair_no").isNotNull()).select(*SESSION, "pair_no", F.col("seq").alias("task_seq"))
     life = (
         queued.where(start | stop)
@@ -250,7 +252,8 @@ def subagent_windows(events: DataFrame, *, width: int = CHUNK_ROWS) -> DataFrame
     agent = [*SESSION, "agent_id"]
     life = scan(life, agent, "seq", befores={"__prev": F.struct(F.col("t").alias("t"), F.col("seq").alias("seq"))}, width=width)
     ends = (F.col("t") == "subagent_message") & (F.col("__prev.t") == "subagent_start")
-    life = scan(life.withColumn("__ends", ends), agent, "seq", sums={"__w": F.when(F.col("__ends"), 1).otherwise(0)}, width=width)
+    life = cut_lineage(life.withColumn("__ends", ends))
+    life = scan(life, agent, "seq", sums={"__w": F.when(F.col("__ends"), 1).otherwise(0)}, width=width)
     life = life.withColumn("__w", F.when(F.col("__ends"), F.col("__w") - 1).otherwise(F.col("__w")))
     return (
         life.groupBy(*agent, "__w")
@@ -347,11 +350,12 @@ def pair_subagents(events: DataFrame, scope: Sequence[str] = SESSION, *, width:
     rows = events.where(start | stop)
     named = F.coalesce(F.col("agent_id") != "", F.lit(False))
     key = [*scope, "agent_id"]
-    queued = queue_pairs(rows.where(named), key, "seq", start, stop, width=width).where("pair_no is not null")
+    narrow = rows.where(named).select(*key, "seq", "t")
+    queued = cut_lineage(queue_pairs(narrow, key, "seq", start, stop, width=width).where("pair_no is not null"))
     opened = queued.where(start).select(*key, "pair_no", F.col("seq").alias("start_seq"))
     closed = queued.where(stop).select(*key, "pair_no", F.col("seq").alias("stop_seq"))
     by_id = opened.join(closed, [*key, "pair_no"]).drop("pair_no")
-    stacked = stack_pairs(rows.where(~named), scope, "seq", start, stop, width=width)
+    stacked = stack_pairs(rows.where(~named).select(*scope, "seq", "t"), scope, "seq", start, stop, width=width)
     by_depth = stacked.where(stop & F.col("partner").isNotNull()).select(
         *scope, F.lit(None).cast("string").alias("agent_id"), F.col("partner").alias("start_seq"), F.col("seq").alias("stop_seq")
     )
@@ -403,7 +407,7 @@ def lifecycle_windows(events: DataFrame, *, width: int = CHUNK_ROWS) -> DataFram
     named = F.coalesce(F.col("child_id") != "", F.lit(False))
     resumes = (F.col("t") == "tool_call") & F.coalesce(F.col("resume"), F.lit(False))
     rows = events.where(named & (resumes | F.col("t").isin("subagent_start", "subagent_message")))
-    rows = rows.select(*key, "seq", "t", "call_ref")
+    rows = cut_lineage(rows.select(*key, "seq", "t", "call_ref"))
     resumed = rows.where("t = 'tool_call'").select(*key).distinct()
 
     def run(name: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -415,7 +419,7 @@ def lifecycle_windows(events: DataFrame, *, width: int = CHUNK_ROWS) -> DataFram
 
     plain = rows.join(resumed, key, "left_anti")
     start, stop = F.col("t") == "subagent_start", F.col("t") == "subagent_message"
-    paired = queue_pairs(plain, key, "seq", start, stop, width=width)
+    paired = cut_lineage(queue_pairs(plain, key, "seq", start, stop, width=width))
     begun = paired.where(start).select(*key, "pair_no", F.col("seq").alias("start_seq"), F.col("call_ref").alias("start_ref"))
     done = paired.where(stop & F.col("pair_no").isNotNull()).select(*key, "pair_no", F.col("seq").alias("stop_seq"))
     windows = begun.join(done, [*key, "pair_no"]).drop("pair_no")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.ordered import CHUNK_ROWS, scan
 from spanloom.operators.search import contains_text
+from spanloom.session import cut_lineage
 
 SESSION = ["platform", "session_id"]
 TURN = [*SESSION, "turn_no"]
@@ -133,8 +134,9 @@ def runs(events: DataFrame, value: str, order: str = "seq") -> DataFrame:
     """Run lengths of equal neighbours, like counting repeats of adjacent lines."""
     marked = scan(events, SESSION, order, befores={"__prev": F.struct(F.col(value).alias("v"))})
     changed = F.col("__prev").isNull() | ~F.col("__prev.v").eqNullSafe(F.col(value))
+    narrow = marked.select(*SESSION, order, value, changed.alias("__new"))
     marked = scan(
-        marked.withColumn("__new", changed), SESSION, order, sums={"run_no": F.when(F.col("__new"), 1).otherwise(0)}
+        cut_lineage(narrow), SESSION, order, sums={"run_no": F.when(F.col("__new"), 1).otherwise(0)}
     )
     return marked.groupBy(*SESSION, "run_no").agg(
         F.first(value).alias(value), F.count(F.lit(1)).alias("length"), F.min(order).alias("first_seq")

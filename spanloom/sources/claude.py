@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.ordered import CHUNK_ROWS, scan
 from spanloom.functions.payload import child, content_parts, is_object
 from spanloom.functions.times import collapse_backwards, valid_datetime
+from spanloom.session import cut_lineage
 from spanloom.sources.jsonl import field
 
 SESSION = ["platform", "session_id"]
@@ -68,7 +69,7 @@ def usage_rows(frames: DataFrame) -> DataFrame:
 
 
 def grouped_frames(frames: DataFrame, *, width: int = CHUNK_ROWS) -> DataFrame:
-    """Frames with ``group_no``: consecutive call frames of one id form a group.
+    """Narrow frame rows with ``group_no``: consecutive call frames of one id form a group.
 
     A user frame or another id ends a group.  Frames that are neither still move the
     time from which the next group is taken to have started.  A user frame carries the
@@ -76,7 +77,9 @@ def grouped_frames(frames: DataFrame, *, width: int = CHUNK_ROWS) -> DataFrame:
     """
     marked = frames.withColumns(_call_columns() | {"ts": valid_datetime(field("timestamp"))})
     user = (F.col("type") == "user") & F.col("has_message")
-    marked = marked.withColumn("role", F.when(user, "user").when(_is_call(), "call"))
+    usage = ["input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens"]
+    role = F.when(user, "user").when(_is_call(), "call").alias("role")
+    marked = marked.select(*SESSION, "pos", role, "call_id", "response_model", "ts", *usage)
     marked = scan(
         marked,
         SESSION,
@@ -90,8 +93,8 @@ def grouped_frames(frames: DataFrame, *, width: int = CHUNK_ROWS) -> DataFrame:
     opens = (F.col("role") == "call") & (
         F.col("prev").isNull() | (F.col("prev.role") == "user") | (F.col("prev.id") != F.col("call_id"))
     )
-    marked = marked.where("role is not null").withColumn("opens", opens)
-    return scan(marked, SESSION, "pos", sums={"group_no": F.when(F.col("opens"), 1).otherwise(0)}, width=width).drop("prev")
+    marked = cut_lineage(marked.where("role is not null").withColumn("opens", opens).drop("prev"))
+    return scan(marked, SESSION, "pos", sums={"group_no": F.when(F.col("opens"), 1).otherwise(0)}, width=width)
 
 
 def calls(grouped: DataFrame) -> DataFrame:
@@ -115,9 +118,10 @@ def calls(grouped: DataFrame) -> DataFrame:
     return out.withColumns({"start_ts": start, "end_ts": end}).drop("prev_ts", "own_ts", "last_ts")
 
 
-def parts(grouped: DataFrame) -> DataFrame:
+def parts(frames: DataFrame, grouped: DataFrame) -> DataFrame:
     """Message parts: one row per part with the call it belongs to, as input or output."""
-    exploded = grouped.select(
+    placed = frames.select(*SESSION, "pos", "frame").join(grouped.select(*SESSION, "pos", "role", "call_id", "group_no"), [*SESSION, "pos"])
+    exploded = placed.select(
         *SESSION,
         (F.col("group_no") + F.when(F.col("role") == "user", 1).otherwise(0)).alias("group_no"),
         F.when(F.col("role") == "user", "input").otherwise("output").alias("side"),

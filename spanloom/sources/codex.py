@@ -9,6 +9,7 @@ from spanloom.functions.ordered import CHUNK_ROWS, scan
 from spanloom.functions.payload import child, get, is_object, text_at
 from spanloom.functions.text import strip_synthetic_prefix
 from spanloom.functions.times import from_unix_seconds, minus_parts, parse_ts
+from spanloom.session import cut_lineage
 from spanloom.sources.jsonl import complete_lines, field, json_frames
 
 SESSION = ["platform", "session_id"]
@@ -109,8 +110,8 @@ def turn_frames(frames: DataFrame, *, width: int = CHUNK_ROWS) -> DataFrame:
     marker = (F.col("type") == "turn_context") | ((F.col("type") == "event_msg") & (F.col("kind") == "task_started"))
     rows = kinds(frames).where(is_object(child(F.col("frame"), "payload")))
     named = F.when(marker, text_at(F.col("frame"), "payload", "turn_id"))
-    rows = scan(rows.withColumn("__named", named), SESSION, "pos", lasts={"turn_id": F.col("__named")}, width=width)
-    return rows.where("turn_id is not null").drop("__named")
+    rows = scan(rows, SESSION, "pos", lasts={"turn_id": named}, width=width)
+    return cut_lineage(rows.where("turn_id is not null"))
 
 
 def block_texts(content: Column) -> Column:
@@ -144,13 +145,15 @@ def normal_messages(rows: DataFrame, *, width: int = CHUNK_ROWS) -> DataFrame:
     first = rows.where("item_id is not null").groupBy(*TURN, "item_id").agg(F.min("pos").alias("pos"))
     copies = rows.where("is_copy")
     kept = copies.where("item_id is null").unionByName(copies.join(first, [*TURN, "item_id", "pos"], "left_semi").select(*copies.columns))
-    kept = kept.withColumn("mkey", F.sha2(F.to_json(F.array(F.col("role"), F.coalesce("phase", F.lit("\x00")), F.col("text"))), 256))
+    kept = kept.select(*TURN, "pos", "role", "phase", "text").withColumn("mkey", F.sha2(F.to_json(F.array(F.col("role"), F.coalesce("phase", F.lit("\x00")), F.col("text"))), 256))
     own = rows.where("is_message").groupBy(
         *TURN, F.sha2(F.to_json(F.array(F.col("role"), F.coalesce("phase", F.lit("\x00")), F.col("text"))), 256).alias("mkey")
     ).agg(F.count(F.lit(1)).alias("responses"))
     kept = scan(kept, [*TURN, "mkey"], "pos", sums={"nth": F.lit(1)}, width=width)
     kept = kept.join(own, [*TURN, "mkey"], "left").where(F.col("nth") > F.coalesce("responses", F.lit(0)))
-    return rows.where("not is_copy").unionByName(kept.select(*rows.columns))
+    kept = kept.select(*TURN, "pos")
+    whole = rows.where("not is_copy").unionByName(rows.where("is_copy").join(kept, [*TURN, "pos"], "left_semi").select(*rows.columns))
+    return cut_lineage(whole)
 
 
 def _output() -> Column:
@@ -179,14 +182,17 @@ def call_frames(messages: DataFrame, *, width: int = CHUNK_ROWS) -> DataFrame:
         (F.col("type") == "event_msg") & (F.col("kind") == "token_count") & is_object(child(F.col("frame"), "payload", "info", "last_token_usage")),
         field("payload", "info", "total_token_usage", "total_tokens", kind="bigint"),
     )
-    rows = messages.withColumns({"watermark": watermark, "is_output": _output()})
+    rows = messages.select(*TURN, "pos", watermark.alias("watermark"), _output().alias("is_output"))
     fresh = rows.where("watermark is not null").groupBy(*TURN, "watermark").agg(F.min("pos").alias("pos"), F.lit(True).alias("is_new"))
     rows = rows.join(fresh.drop("watermark"), [*TURN, "pos"], "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
-    rows = scan(rows, TURN, "pos", sums={"outputs": F.when(F.col("is_output"), 1).otherwise(0)}, width=width)
+    rows = cut_lineage(scan(rows, TURN, "pos", sums={"outputs": F.when(F.col("is_output"), 1).otherwise(0)}, width=width))
     rows = scan(rows, TURN, "pos", befores={"at_last": F.when(F.col("is_new"), F.col("outputs"))}, width=width)
-    rows = rows.withColumn("closes", F.col("is_new") & (F.col("outputs") > F.coalesce("at_last", F.lit(0))))
+    closes = F.col("is_new") & (F.col("outputs") > F.coalesce("at_last", F.lit(0)))
+    rows = cut_lineage(rows.select(*TURN, "pos", "is_output", closes.alias("closes")))
     rows = scan(rows, TURN, "pos", sums={"closed": F.when(F.col("closes"), 1).otherwise(0)}, width=width)
-    return rows.withColumn("call_no", F.when(F.col("closes"), F.col("closed") - 1).otherwise(F.col("closed"))).drop("at_last", "outputs", "closed")
+    call_no = F.when(F.col("closes"), F.col("closed") - 1).otherwise(F.col("closed"))
+    placed = rows.select(*TURN, "pos", "is_output", "closes", call_no.alias("call_no"))
+    return messages.join(placed, [*TURN, "pos"])
 
 
 def _tool_start() -> Column:
