@@ -92,5 +92,6 @@ def agent_name(platform: Column, model: Column) -> Column:
     return F.when(F.coalesce(model, F.lit("")) != "", F.concat(name, F.lit("["), model, F.lit("]"))).otherwise(name)
 
 
-# Span agent names of platforms whose name differs.
-AGENT_NAMES = {"claude": "claude-code"}
+# Agent name and default provider of a platform's spans.
+AGENT_NAMES = {"claude": "claude-code", "cursor": "cursor"}
+PROVIDER_NAMES = {"claude": "anthropic", "codex": "openai"}

@@ -14,10 +14,12 @@ scan on top of another therefore cut the lineage of the narrow rows in between.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from spanloom.session import cut_lineage
 
@@ -209,3 +211,36 @@ def stack_pairs(
     return out.withColumn(
         "partner", F.when(closes & F.col("__level").isNotNull(), F.col("partner"))
     ).drop("__sum", "__low", "__low_before", "__level")
+
+
+def walk(df: DataFrame, keys: Sequence[str], order: str, schema: StructType, start: Callable[[], tuple]) -> DataFrame:
+    """Rows of each key in order through a small Python state, batch by batch.
+
+    For pairing rules that depend on everything still open.  Rows are partitioned by key
+    and sorted; no group is ever held, only the state.  ``start()`` makes the state of a
+    key and returns two functions: one takes a row, the other is called at the key's end;
+    both return output tuples, which follow the key columns in ``schema``.
+    """
+    keys = list(keys)
+    names = [f.name for f in schema]
+    types = {f.name: "Int64" for f in schema if isinstance(f.dataType, LongType)}
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype(types)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, on_row, on_end = None, None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.itertuples(index=False):
+                key = tuple(getattr(row, k) for k in keys)
+                if key != current:
+                    if on_end is not None:
+                        out += [current + t for t in on_end()]
+                    current, (on_row, on_end) = key, start()
+                out += [key + t for t in on_row(row)]
+            yield frame(out)
+        if on_end is not None:
+            yield frame([current + t for t in on_end()])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.functions.ordered import CHUNK_ROWS, queue_pairs, scan, stack_pairs
+from spanloom.functions.ordered import CHUNK_ROWS, queue_pairs, scan, stack_pairs, walk
 from spanloom.session import cut_lineage
 
 SESSION = ["platform", "session_id"]
@@ -41,7 +41,11 @@ def merge_payloads(call: Column, result: Column) -> Column:
     return F.map_concat(kept, result)
 
 
-def _stack_level(keys: Sequence[str], width: int):
+def _schema(texts: Sequence[str], *numbers: str) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in texts] + [T.StructField(c, T.LongType()) for c in numbers])
+
+
+def _stack_level(width: int):
     """One pass over the rows a chunk could not settle: pops take the newest live push."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -106,7 +110,7 @@ def pair_tools_with_fallback(events: DataFrame, *, width: int = CHUNK_ROWS, fan:
     span = width
     while longest is not None:
         step = pending.groupBy(*SESSION, F.expr(f"seq div {span}")).applyInPandas(
-            _stack_level(SESSION, span), schema=pending.schema
+            _stack_level(span), schema=pending.schema
         )
         last = span > longest
         if not last:
@@ -122,36 +126,35 @@ def pair_tools_with_fallback(events: DataFrame, *, width: int = CHUNK_ROWS, fan:
     return settled
 
 
-def _positional(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First-in-first-out pairing of one tool family, reading the group batch by batch.
+def _positional() -> tuple:
+    """First-in-first-out pairing of one tool family.
 
     Rows with an id are settled already; they only hold their place until ``gone_at``.
     """
     waiting: dict[str, list[tuple[str, bool, int, float]]] = {"tool_call": [], "tool_result": []}
-    for batch in rows:
-        made: list[tuple[int, int]] = []
-        for row in batch.itertuples(index=False):
-            seq = int(row.seq)
-            until = float("inf") if pd.isna(row.gone_at) else float(row.gone_at)
-            if row.has_id:
-                waiting[row.t].append((row.pair_key, True, seq, until))
-                continue
-            side = "tool_result" if row.t == "tool_call" else "tool_call"
-            waiting[side] = other = [w for w in waiting[side] if w[3] > seq]
-            at = next((i for i, w in enumerate(other) if w[0] == row.pair_key), None)
-            if at is None and row.bare and other and not other[0][1]:
-                at = 0
-            if at is None:
-                waiting[row.t].append((row.pair_key, False, seq, until))
-            else:
-                mate = other.pop(at)[2]
-                made.append((seq, mate) if row.t == "tool_call" else (mate, seq))
-        yield pd.DataFrame(made, columns=["call_seq", "result_seq"], dtype="Int64")
-    for t, side in (("tool_call", "call_seq"), ("tool_result", "result_seq")):
-        alone = [w[2] for w in waiting[t] if not w[1]]
-        left = pd.DataFrame({"call_seq": [pd.NA] * len(alone), "result_seq": [pd.NA] * len(alone)}, dtype="Int64")
-        left[side] = pd.array(alone, dtype="Int64")
-        yield left
+
+    def on_row(row) -> list[tuple]:
+        seq = int(row.seq)
+        until = float("inf") if pd.isna(row.gone_at) else float(row.gone_at)
+        if row.has_id:
+            waiting[row.t].append((row.pair_key, True, seq, until))
+            return []
+        side = "tool_result" if row.t == "tool_call" else "tool_call"
+        waiting[side] = other = [w for w in waiting[side] if w[3] > seq]
+        at = next((i for i, w in enumerate(other) if w[0] == row.pair_key), None)
+        if at is None and row.bare and other and not other[0][1]:
+            at = 0
+        if at is None:
+            waiting[row.t].append((row.pair_key, False, seq, until))
+            return []
+        mate = other.pop(at)[2]
+        return [(seq, mate) if row.t == "tool_call" else (mate, seq)]
+
+    def on_end() -> list[tuple]:
+        alone = {t: [w[2] for w in rows if not w[1]] for t, rows in waiting.items()}
+        return [(s, None) for s in alone["tool_call"]] + [(None, s) for s in alone["tool_result"]]
+
+    return on_row, on_end
 
 
 def pair_two_sided(events: DataFrame, *, width: int = CHUNK_ROWS) -> DataFrame:
@@ -205,19 +208,7 @@ def pair_two_sided(events: DataFrame, *, width: int = CHUNK_ROWS) -> DataFrame:
     )
     guessing = rest.where("not has_id").withColumn("gone_at", F.lit(None).cast("bigint")).drop("instant")
     narrow = guessing.unionByName(holders).join(mixed, group, "left_semi")
-    schema = T.StructType(
-        [T.StructField(c, T.StringType()) for c in scope]
-        + [T.StructField(c, T.LongType()) for c in ("call_seq", "result_seq")]
-    )
-
-    def run(key: tuple, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for out in _positional(rows):
-            yield out.assign(platform=key[0], session_id=key[1], generation=key[2])[
-                ["platform", "session_id", "generation", "call_seq", "result_seq"]
-            ]
-
-    ordered = narrow.repartition(*group).sortWithinPartitions(*group, "seq")
-    guessed = ordered.groupBy(*group).applyInPandas(run, schema=schema)
+    guessed = walk(narrow, group, "seq", _schema(group, "call_seq", "result_seq"), _positional).drop("family")
     return (
         pairs.select(*scope, "call_seq", "result_seq")
         .unionByName(guessed)
@@ -362,32 +353,30 @@ def pair_subagents(events: DataFrame, scope: Sequence[str] = SESSION, *, width:
     return by_id.unionByName(by_depth)
 
 
-def _resumed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Windows of one child that has resumed dispatches, read in seq order."""
+def _resumed() -> tuple:
+    """Windows of one child that has resumed dispatches."""
     queue: list[tuple[int, str, bool]] = []
-    finished = False
-    for batch in rows:
-        made: list[tuple[int | None, str, int]] = []
-        for row in batch.itertuples(index=False):
-            seq, ref = int(row.seq), row.call_ref or ""
-            if row.t == "tool_call":
-                finished = False
-                queue.append((seq, ref, True))
-            elif row.t == "subagent_start":
-                finished = False
-                same = [q for q in queue if q[2] and (not ref or q[1] == ref)]
-                if same:
-                    queue.remove(same[0])
-                    ref = ref or same[0][1]
-                queue.append((seq, ref, bool(same)))
-            elif queue:
+    finished = [False]
+
+    def on_row(row) -> list[tuple]:
+        seq, ref = int(row.seq), row.call_ref or ""
+        if row.t == "subagent_message":
+            if queue:
+                finished[0] = True
                 start = queue.pop(0)
-                finished = True
-                made.append((start[0], start[1], seq))
-            elif not finished:
-                made.append((None, "", seq))
-        out = pd.DataFrame(made, columns=["start_seq", "start_ref", "stop_seq"])
-        yield out.astype({"start_seq": "Int64", "stop_seq": "Int64"})
+                return [(start[0], start[1], seq)]
+            return [] if finished[0] else [(None, "", seq)]
+        finished[0] = False
+        resume = row.t == "tool_call"
+        if not resume:
+            same = next((q for q in queue if q[2] and (not ref or q[1] == ref)), None)
+            if same is not None:
+                queue.remove(same)
+                ref, resume = ref or same[1], True
+        queue.append((seq, ref, resume))
+        return []
+
+    return on_row, list
 
 
 def lifecycle_windows(events: DataFrame, *, width: int = CHUNK_ROWS) -> DataFrame:
@@ -400,22 +389,17 @@ def lifecycle_windows(events: DataFrame, *, width: int = CHUNK_ROWS) -> DataFram
     others are read in order, batch by batch.
     """
     key = [*SESSION, "child_id"]
-    schema = T.StructType(
-        [T.StructField(c, T.StringType()) for c in key]
-        + [T.StructField("start_seq", T.LongType()), T.StructField("start_ref", T.StringType()), T.StructField("stop_seq", T.LongType())]
-    )
     named = F.coalesce(F.col("child_id") != "", F.lit(False))
     resumes = (F.col("t") == "tool_call") & F.coalesce(F.col("resume"), F.lit(False))
     rows = events.where(named & (resumes | F.col("t").isin("subagent_start", "subagent_message")))
     rows = cut_lineage(rows.select(*key, "seq", "t", "call_ref"))
     resumed = rows.where("t = 'tool_call'").select(*key).distinct()
 
-    def run(name: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for out in _resumed(batches):
-            yield out.assign(platform=name[0], session_id=name[1], child_id=name[2])[[f.name for f in schema]]
-
-    narrow = rows.join(resumed, key, "left_semi").repartition(*key).sortWithinPartitions(*key, "seq")
-    with_resume = narrow.groupBy(*key).applyInPandas(run, schema=schema)
+    schema = T.StructType(
+        [T.StructField(c, T.StringType()) for c in key]
+        + [T.StructField("start_seq", T.LongType()), T.StructField("start_ref", T.StringType()), T.StructField("stop_seq", T.LongType())]
+    )
+    with_resume = walk(rows.join(resumed, key, "left_semi"), key, "seq", schema, _resumed)
 
     plain = rows.join(resumed, key, "left_anti")
     start, stop = F.col("t") == "subagent_start", F.col("t") == "subagent_message"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("core", "platforms")
+MODULES = ("core", "platforms", "jobs")
 
 
 def _merged(name: str) -> dict:

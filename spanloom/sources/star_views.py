@@ -11,8 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+STREAM = "stream:"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; a folder name that starts with ``stream:`` gives it as a stream."""
+    if not sf_dir.startswith(STREAM):
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    folder = sf_dir.removeprefix(STREAM)
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def usage_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
