@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from spanloom.session import cut_lineage
+from spanloom.session import cut_lineage, prepare
 
 CHUNK_ROWS = 65_536
 CHUNK = "__chunk"
@@ -55,6 +55,7 @@ def scan(
     ``befores`` then gives the next non-null value after the row.
     """
     sums, lasts, befores, floors = (dict(m or {}) for m in (sums, lasts, befores, floors))
+    prepare(df.sparkSession)
     keys = list(keys)
     parts = [*keys, CHUNK]
     by = F.col(order).desc() if reverse else F.col(order).asc()
@@ -221,6 +222,7 @@ def walk(df: DataFrame, keys: Sequence[str], order: str, schema: StructType, sta
     key and returns two functions: one takes a row, the other is called at the key's end;
     both return output tuples, which follow the key columns in ``schema``.
     """
+    prepare(df.sparkSession)
     keys = list(keys)
     names = [f.name for f in schema]
     types = {f.name: "Int64" for f in schema if isinstance(f.dataType, LongType)}

@@ -189,11 +189,11 @@ def pair_two_sided(events: DataFrame, *, width: int = CHUNK_ROWS) -> DataFrame:
     rest = cut_lineage(keyed.where("not instant"))
     mixed = rest.where("bare").select(*group).distinct()
     by_key = rest.where("has_id").unionByName(rest.where("not has_id").join(mixed, group, "left_anti").select(*rest.columns))
-    numbered = scan(by_key, [*scope, "pair_key", "t"], "seq", sums={"k": F.lit(1)}, width=width)
+    numbered = cut_lineage(scan(by_key, [*scope, "pair_key", "t"], "seq", sums={"k": F.lit(1)}, width=width))
     on = [*scope, "pair_key", "k"]
     calls = numbered.where("t = 'tool_call'").select(*on, F.col("seq").alias("call_seq"), F.col("family").alias("cf"))
     results = numbered.where("t = 'tool_result'").select(*on, F.col("seq").alias("result_seq"), F.col("family").alias("rf"))
-    pairs = calls.join(results, on, "full_outer")
+    pairs = cut_lineage(calls.join(results, on, "full_outer"))
 
     first_is_call = F.col("result_seq").isNull() | (F.col("call_seq") < F.col("result_seq"))
     holders = pairs.where(F.col("pair_key").startswith("id:")).select(

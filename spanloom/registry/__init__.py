@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from spanloom.session import prepare
+
 MODULES = ("core", "platforms", "jobs")
 
 
@@ -15,7 +17,10 @@ def _merged(name: str) -> dict:
 
 
 def all_queries() -> dict:
-    return _merged("QUERIES")
+    def prepared(query):
+        return lambda spark, sf_dir: query(prepare(spark), sf_dir)
+
+    return {name: prepared(query) for name, query in _merged("QUERIES").items()}
 
 
 def all_oracles() -> dict:

@@ -144,10 +144,10 @@ def _placements(s, d):
     return spans.placements(ledger, now).select("session_id", "accounting_id", "action", "destination")
 
 
-_add("placement", _placements, """WITH r AS (SELECT CAST(l_orderkey AS VARCHAR) AS session_id, CAST(l_linenumber AS VARCHAR) AS accounting_id, l_partkey * 100000 + CAST(floor(l_extendedprice * 100) AS BIGINT) % 100000 AS at,
+_add("placement", _placements, """WITH r AS (SELECT CAST(l_orderkey AS VARCHAR) AS session_id, CAST(l_linenumber AS VARCHAR) AS accounting_id, l_partkey * 100000 + CAST(floor(l_extendedprice * 100) AS BIGINT) % 100000 AS placed_at,
     l_returnflag AS destination, CAST(l_quantity AS VARCHAR) AS digest, l_linestatus = 'F' AS delivered FROM lineitem),
-    w AS (SELECT session_id, accounting_id, destination AS wd, digest AS wg, delivered AS wv FROM r WHERE delivered OR digest > '2' QUALIFY row_number() OVER (PARTITION BY session_id, accounting_id ORDER BY at) = 1),
-    n AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY session_id, accounting_id ORDER BY at DESC) = 1)
+    w AS (SELECT session_id, accounting_id, destination AS wd, digest AS wg, delivered AS wv FROM r WHERE delivered OR digest > '2' QUALIFY row_number() OVER (PARTITION BY session_id, accounting_id ORDER BY placed_at) = 1),
+    n AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY session_id, accounting_id ORDER BY placed_at DESC) = 1)
     SELECT session_id, accounting_id, CASE WHEN wd IS NULL THEN 'new' WHEN wg = digest AND wd = destination THEN 'same' WHEN wv THEN 'conflict' ELSE 'moved' END AS action,
     CASE WHEN wv THEN wd ELSE destination END AS destination FROM n LEFT JOIN w USING (session_id, accounting_id)""")
 
@@ -301,8 +301,15 @@ _add("incremental_calls", _call_stream, _sql(
 
 
 def _turn_stream(s, d):
+    """Runs to the end of the data only; a live stream keeps going so that its timer can fire."""
     out, ckpt = _folders(s, "turns")
-    stream.drain(stream.to_folder(stream.open_turns(V.events(s, V.STREAM + d)), out, ckpt))
+    idle = "spark.sql.streaming.noDataMicroBatches.enabled"
+    was = s.conf.get(idle, "true")
+    s.conf.set(idle, "false")
+    try:
+        stream.drain(stream.to_folder(stream.open_turns(V.events(s, V.STREAM + d)), out, ckpt))
+    finally:
+        s.conf.set(idle, was)
     return s.read.parquet(out)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cores: int | str = "*", app: str = "spanloom") -> SparkSession:
     """A session for tests and the local bench; clusters bring their own."""
-    return (
+    return prepare(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
@@ -23,13 +23,26 @@ def local_session(cores: int | str = "*", app: str = "spanloom") -> SparkSession
     )
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings the jobs rely on, made in the session at hand.
+
+    Spark 4.1 may take a union of two hash-partitioned inputs as hash-partitioned itself and
+    then leave out the shuffle in front of a window or sort.  When adaptive execution
+    coalesces the two inputs differently, rows of one key end up in separate tasks, so
+    that inference is switched off.
+    """
+    if spark.version >= "4.1":
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
 
     Only where neither that setting nor a checkpoint dir exists (tests) is a
     local folder made.
     """
-    spark = df.sparkSession
+    spark = prepare(df.sparkSession)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)

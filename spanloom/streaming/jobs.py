@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from spanloom.functions.ordered import latest
 from spanloom.operators.usage import CALL_KEY, usage_by_day
@@ -75,7 +75,7 @@ def ingest(records: DataFrame, bronze: str, checkpoint: str, *, once: bool = Tru
         seen_before = F.try_to_timestamp(F.col("observed_at").cast("string"))
         good = batch.where(seen_before.isNotNull())
         first = latest(good, [*SESSION, "source_id"], "pos", first=True)
-        known = stored(spark, f"{bronze}/records", StructType(list(schema.fields)).add("batch", "int")).where(F.col("batch") != number)
+        known = stored(spark, f"{bronze}/records", StructType(list(schema.fields)).add("batch", IntegerType())).where(F.col("batch") != number)
         fresh = first.join(known.select(*SESSION, "source_id"), [*SESSION, "source_id"], "left_anti")
         fresh = fresh.withColumn("ts", F.coalesce(F.col("ts"), F.col("observed_at"))).select(*schema.fieldNames())
         _write(fresh, f"{bronze}/records", number)
@@ -119,7 +119,7 @@ def daily_stream(usage: DataFrame, table: str, days: str, checkpoint: str, *, on
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = stored(spark, table, StructType(list(schema.fields)).add("batch", "int")).where(F.col("batch") != number)
+        before = stored(spark, table, StructType(list(schema.fields)).add("batch", IntegerType())).where(F.col("batch") != number)
         changed = batch.select(*CALL_KEY).distinct()
         moved = before.join(changed, CALL_KEY, "left_semi").select(F.to_date("ts").alias("day"))
         touched = batch.select(F.to_date("ts").alias("day")).unionByName(moved).where("day is not null").distinct()
@@ -187,7 +187,7 @@ def emit_once(
         _write(batch, bronze, number)
         touched = batch.select(*SESSION).distinct()
         now = job(stored(spark, bronze, schema).join(touched, SESSION, "left_semi"))
-        before = stored(spark, out, StructType(list(now.schema.fields)).add("batch", "int")).where(F.col("batch") != number)
+        before = stored(spark, out, StructType(list(now.schema.fields)).add("batch", IntegerType())).where(F.col("batch") != number)
         if grew is None:
             fresh = now.join(before.select(*key), key, "left_anti")
         else:
