@@ -21,15 +21,26 @@ SHUTDOWN_KEYS = {
 }
 
 
+TEXTS = ("agent_id", "parent_tool_call_id", "model", "finish_reason", "initiator", "created_at", "provider", "provider_name")
+
+
 def row_metrics(snapshot: DataFrame) -> DataFrame:
-    """Usage revisions with typed metrics read from the row."""
-    row = F.col("row")
-    texts = {c: F.nullif(get(row, c), F.lit("")) for c in ("agent_id", "parent_tool_call_id", "model", "finish_reason", "initiator")}
-    provider = F.coalesce(F.nullif(get(row, "provider"), F.lit("")), F.nullif(get(row, "provider_name"), F.lit("")))
-    return snapshot.withColumns(
-        {m: metric_number(row, m) for m in METRICS}
-        | texts
-        | {"provider": provider, "turn_index": metric_number(row, "turn_index"), "row_ts": get(row, "created_at")}
+    """Usage revisions with typed metrics, read from the row in one pass.
+
+    A number field takes JSON numbers only, so texts and booleans come out NULL; a metric
+    is whole and not negative.
+    """
+    schema = ", ".join([f"{m} double" for m in (*METRICS, "turn_index")] + [f"{t} string" for t in TEXTS])
+    parsed = snapshot.withColumn("__row", F.from_json("row_json", schema))
+    number = lambda name: F.col(f"__row.{name}")
+    metric = lambda name: F.when((number(name) >= 0) & (F.floor(number(name)) == number(name)), number(name).cast("bigint"))
+    text = lambda name: F.nullif(F.col(f"__row.{name}"), F.lit(""))
+    return parsed.select(
+        *[c for c in snapshot.columns if c != "row_json"],
+        *[metric(m).alias(m) for m in (*METRICS, "turn_index")],
+        *[text(t).alias(t) for t in TEXTS[:5]],
+        text("created_at").alias("row_ts"),
+        F.coalesce(text("provider"), text("provider_name")).alias("provider"),
     )
 
 
@@ -44,12 +55,8 @@ def current_revisions(revisions: DataFrame) -> DataFrame:
     A row id seen in more than one database generation quarantines all its calls; so do
     cache counts that exceed the input.
     """
-    rest = [c for c in revisions.columns if c not in CALL]
-    newest = (
-        revisions.groupBy(*CALL)
-        .agg(F.max_by(F.struct(*rest), "pos").alias("r"), F.min("pos").alias("first_pos"))
-        .select(*CALL, *[F.col(f"r.{c}").alias(c) for c in rest], "first_pos")
-    )
+    bounds = revisions.groupBy(*CALL).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("pos"))
+    newest = revisions.join(bounds, [*CALL, "pos"])
     reused = (
         revisions.groupBy(*SESSION, "primary_key")
         .agg(F.min("generation").alias("lo"), F.max("generation").alias("hi"))

@@ -46,29 +46,28 @@ def _schema(texts: Sequence[str], *numbers: str) -> T.StructType:
 
 
 def _stack_level(width: int):
-    """One pass over the rows a chunk could not settle: pops take the newest live push."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        end = (int(pdf["seq"].iloc[0]) // width + 1) * width
-        live: list[int] = []
-        gone = dict(zip(pdf["seq"], pdf["gone_at"], strict=True))
-        mates: dict[int, int] = {}
-        for seq, kind in zip(pdf["seq"], pdf["kind"], strict=True):
-            if kind == "push":
-                live.append(seq)
-                continue
-            while live and pd.notna(gone[live[-1]]) and gone[live[-1]] <= seq:
+    """State of one chunk: pops take the newest live push, what is left goes on."""
+
+    def start() -> tuple:
+        live: list[tuple[int, float]] = []
+        end = [0]
+
+        def on_row(row) -> list[tuple]:
+            seq = int(row.seq)
+            end[0] = (seq // width + 1) * width
+            if row.kind == "push":
+                live.append((seq, float("inf") if pd.isna(row.gone_at) else float(row.gone_at)))
+                return []
+            while live and live[-1][1] <= seq:
                 live.pop()
-            if live:
-                mates[seq] = live.pop()
-        waiting = {s for s in live if pd.isna(gone[s]) or gone[s] >= end}
-        pops = pdf["kind"] == "pop"
-        kept = pdf[pops | pdf["seq"].isin(waiting)].copy()
-        kept["mate"] = pd.array([mates.get(s) for s in kept["seq"]], dtype="Int64")
-        return kept
+            return [(seq, "pop", None, live.pop()[0] if live else None)]
 
-    return run
+        def on_end() -> list[tuple]:
+            return [(s, "push", None if g == float("inf") else int(g), None) for s, g in live if g >= end[0]]
+
+        return on_row, on_end
+
+    return start
 
 
 def pair_tools_with_fallback(events: DataFrame, *, width: int = CHUNK_ROWS, fan: int = 64) -> DataFrame:
@@ -109,9 +108,9 @@ def pair_tools_with_fallback(events: DataFrame, *, width: int = CHUNK_ROWS, fan:
     settled = direct
     span = width
     while longest is not None:
-        step = pending.groupBy(*SESSION, F.expr(f"seq div {span}")).applyInPandas(
-            _stack_level(span), schema=pending.schema
-        )
+        chunked = pending.withColumn("part", F.expr(f"cast(seq div {span} as string)"))
+        schema = chunked.select(*SESSION, "part", "seq", "kind", "gone_at", "mate").schema
+        step = walk(chunked.drop("mate"), [*SESSION, "part"], "seq", schema, _stack_level(span)).drop("part")
         last = span > longest
         if not last:
             step = cut_lineage(step)

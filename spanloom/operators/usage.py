@@ -18,15 +18,12 @@ SESSION = ["platform", "session_id"]
 def dedup_calls(usage: DataFrame) -> DataFrame:
     """One row per call: the last occurrence, with ``first_pos`` of the first one.
 
-    A partial aggregation per call, so a call repeated without end is folded on the
-    map side.
+    The bounds of each call come from a hash aggregation that folds repeats on the map
+    side; the rows then meet them on call and position, so a call repeated without end
+    is spread by position.  ``pos`` must be unique within a call.
     """
-    rest = [c for c in usage.columns if c not in CALL_KEY]
-    return (
-        usage.groupBy(*CALL_KEY)
-        .agg(F.max_by(F.struct(*rest), F.col("pos")).alias("__row"), F.min("pos").alias("first_pos"))
-        .select(*CALL_KEY, *[F.col(f"__row.{c}").alias(c) for c in rest], "first_pos")
-    )
+    bounds = usage.groupBy(*CALL_KEY).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("pos"))
+    return usage.join(bounds, [*CALL_KEY, "pos"]).select(*usage.columns, "first_pos")
 
 
 def with_total(calls: DataFrame) -> DataFrame:

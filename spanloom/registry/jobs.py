@@ -288,8 +288,8 @@ _add("assign_seq_stream", _seq_stream, _sql(
 
 def _call_stream(s, d):
     out, ckpt = _folders(s, "calls")
-    frames = star_frames.claude_frames(s, V.STREAM + d).withColumns(claude._call_columns() | {"ts": parse_ts(F.expr("try_variant_get(frame, '$.timestamp', 'string')"))})
-    role = F.when((F.col("type") == "user") & F.col("has_message"), "user").when(claude._is_call(), "call")
+    frames = claude.call_fields(star_frames.claude_frames(s, V.STREAM + d)).withColumn("ts", parse_ts(F.col("ts_text")))
+    role = F.when((F.col("type") == "user") & F.col("has_message"), "user").when(claude.is_call(), "call")
     rows = frames.select(*P, "pos", role.alias("role"), "call_id", "ts", "input_tokens", "output_tokens")
     stream.drain(stream.to_folder(stream.incremental_calls(rows), out, ckpt))
     return s.read.parquet(out).select(*P, "pos", "call_id", "input_tokens", "output_tokens", "frames")

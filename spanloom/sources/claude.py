@@ -6,36 +6,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.ordered import CHUNK_ROWS, scan
-from spanloom.functions.payload import child, content_parts, is_object
+from spanloom.functions.payload import child, content_parts
 from spanloom.functions.times import collapse_backwards, valid_datetime
 from spanloom.session import cut_lineage
-from spanloom.sources.jsonl import field
 
 SESSION = ["platform", "session_id"]
 SYNTHETIC_MODEL = "<synthetic>"  # fixed value: marks injected messages
 
 
-def _call_columns() -> dict:
-    message = child(F.col("frame"), "message")
-    usage = lambda name: field("message", "usage", name, kind="bigint")
-    call_id = F.coalesce(*[F.nullif(c, F.lit("")) for c in (field("message", "id"), field("requestId"), field("uuid"))])
-    fresh = F.coalesce(usage("input_tokens"), F.lit(0))
+FRAME = (
+    "struct<type:string, timestamp:string, requestId:string, uuid:string, message:struct<id:string, model:string, usage:struct<"
+    "input_tokens:bigint, output_tokens:bigint, cache_read_input_tokens:bigint, cache_creation_input_tokens:bigint>>>"
+)
+
+
+def call_fields(frames: DataFrame) -> DataFrame:
+    """Frames with the fields that make a model call, read from the payload in one pass."""
+    f = lambda name: F.col(f"__f.{name}")
+    usage = lambda name: F.col(f"__f.message.usage.{name}")
     read, wrote = usage("cache_read_input_tokens"), usage("cache_creation_input_tokens")
-    return {
-        "type": field("type"),
-        "has_message": is_object(message),
-        "call_id": call_id,
-        "response_model": F.nullif(field("message", "model"), F.lit("")),
-        "reported": is_object(child(F.col("frame"), "message", "usage"))
-        & (usage("input_tokens").isNotNull() | usage("output_tokens").isNotNull()),
-        "input_tokens": fresh + F.coalesce(read, F.lit(0)) + F.coalesce(wrote, F.lit(0)),
-        "output_tokens": F.coalesce(usage("output_tokens"), F.lit(0)),
-        "cache_read_input_tokens": read,
-        "cache_creation_input_tokens": wrote,
-    }
-
-
-def _is_call() -> Column:
+    zero = F.lit(0)
+    return (
+        frames.withColumn("__f", F.try_variant_get("frame", "$", FRAME))
+        .withColumns(
+            {
+                "type": f("type"),
+                "ts_text": F.coalesce(f("timestamp"), F.lit("")),
+                "has_message": f("message").isNotNull(),
+                "call_id": F.coalesce(*[F.nullif(f(c), F.lit("")) for c in ("message.id", "requestId", "uuid")]),
+                "response_model": F.nullif(f("message.model"), F.lit("")),
+                "reported": usage("input_tokens").isNotNull() | usage("output_tokens").isNotNull(),
+                "input_tokens": F.coalesce(usage("input_tokens"), zero) + F.coalesce(read, zero) + F.coalesce(wrote, zero),
+                "output_tokens": F.coalesce(usage("output_tokens"), zero),
+                "cache_read_input_tokens": read,
+                "cache_creation_input_tokens": wrote,
+            }
+        )
+        .drop("__f")
+    )
+
+
+def is_call() -> Column:
     return (
         (F.col("type") == "assistant")
         & F.col("has_message")
@@ -49,13 +60,13 @@ def _is_call() -> Column:
 def usage_rows(frames: DataFrame) -> DataFrame:
     """One usage row per assistant frame that reports usage; stored input includes both caches."""
     return (
-        frames.withColumns(_call_columns())
-        .where(_is_call())
+        call_fields(frames)
+        .where(is_call())
         .select(
             *SESSION,
             "pos",
             "call_id",
-            F.coalesce(field("timestamp"), F.lit("")).alias("ts"),
+            F.col("ts_text").alias("ts"),
             F.lit("anthropic").alias("provider_name"),
             "response_model",
             F.lit("chat").alias("operation_name"),
@@ -75,10 +86,10 @@ def grouped_frames(frames: DataFrame, *, width: int = CHUNK_ROWS) -> DataFrame:
     time from which the next group is taken to have started.  A user frame carries the
     number of the group before it, so it feeds group ``group_no + 1``.
     """
-    marked = frames.withColumns(_call_columns() | {"ts": valid_datetime(field("timestamp"))})
+    marked = call_fields(frames).withColumn("ts", valid_datetime(F.col("ts_text")))
     user = (F.col("type") == "user") & F.col("has_message")
     usage = ["input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens"]
-    role = F.when(user, "user").when(_is_call(), "call").alias("role")
+    role = F.when(user, "user").when(is_call(), "call").alias("role")
     marked = marked.select(*SESSION, "pos", role, "call_id", "response_model", "ts", *usage)
     marked = scan(
         marked,

@@ -123,7 +123,7 @@ def usage_snapshot(rows: DataFrame, source_key: Column, generation: Column) -> D
         pk.alias("primary_key"),
         F.concat_ws(":", F.lit("copilot-db"), source_key, F.col("session_id"), F.lit(USAGE_TABLE), pk, revision).alias("source_id"),
         F.concat_ws(":", F.lit("copilot"), F.lit("usage"), source_key, F.lit(USAGE_TABLE), percent_quote(generation), pk).alias("logical_call_id"),
-        F.try_parse_json("row_json").alias("row"),
+        "row_json",
     )
 
 
