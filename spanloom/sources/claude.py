@@ -21,13 +21,17 @@ FRAME = (
 
 
 def call_fields(frames: DataFrame) -> DataFrame:
-    """Frames with the fields that make a model call, read from the payload in one pass."""
+    """Frames with the fields that make a model call, read from the payload in one pass.
+
+    The one-element explode keeps later filters from being pushed below the read, where
+    each of their conditions would parse the payload again.
+    """
     f = lambda name: F.col(f"__f.{name}")
     usage = lambda name: F.col(f"__f.message.usage.{name}")
     read, wrote = usage("cache_read_input_tokens"), usage("cache_creation_input_tokens")
     zero = F.lit(0)
     return (
-        frames.withColumn("__f", F.try_variant_get("frame", "$", FRAME))
+        frames.withColumn("__f", F.explode(F.array(F.try_variant_get("frame", "$", FRAME))))
         .withColumns(
             {
                 "type": f("type"),
