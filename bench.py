@@ -14,7 +14,7 @@ HEADLINE = [
     "dedup_calls", "usage_by_day", "usage_totals", "usage_rollup", "top_sessions", "usage_summary", "token_spikes", "price_calls", "list_sessions", "sessions_with_tags",
     "effective_tags", "tag_inventory", "search_events", "search_documents", "turns", "filter_turns", "sessions_by_turn", "events_with_findings", "rubric_disagreement", "tool_mix", "runs",
     "waste_signatures", "recovery_shape", "pair_tools_by_id", "pair_tools_with_fallback", "subagent_windows", "owning_agent", "claude_usage_rows", "claude_calls", "codex_calls",
-    "ordered_usage_match", "attribute_usage", "current_revisions", "shutdown_mismatch", "usage_stream",
+    "ordered_usage_match", "current_revisions", "usage_stream",
 ]
 
 
