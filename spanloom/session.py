@@ -1,4 +1,4 @@
-"""Session construction and lineage cuts."""
+"""Session construction, the shared folder and lineage cuts."""
 
 from __future__ import annotations
 
@@ -36,15 +36,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where neither that setting nor a checkpoint dir exists (tests) is a
-    local folder made.
+    A session of one machine that names none gets a new temporary folder; a cluster
+    without the setting is an error, as executors would each write to their own disk.
     """
-    spark = prepare(df.sparkSession)
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="run-ckpt-", dir="/tmp")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-ckpt-", dir="/tmp"))
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(prepare(df.sparkSession))
     return df.checkpoint(eager=True)
