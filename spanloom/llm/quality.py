@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.llm.common import documents, raw, runs, unused
 from spanloom.llm.words import SPACE, U, mix, shingles, words
@@ -42,7 +43,7 @@ def _lines(text: str) -> tuple[int, int]:
     return len(full), len(full) - len(set(full))
 
 
-@F.arrow_udf("struct<" + ", ".join(f"{k}: bigint" for k in COUNTS) + ">")
+@F.arrow_udf(T.StructType([T.StructField(k, T.LongType()) for k in COUNTS]))
 def counts_of(column: pa.Array) -> pa.Array:
     """The counts of each whole text; a null text counts as empty."""
     parts = [_counts(texts) for texts in runs(column)]
