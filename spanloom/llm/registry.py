@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("minhash", "quality")
+MODULES = ("bpe", "minhash", "quality")
 
 
 def _merged(name: str) -> dict:
