@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "langid", "minhash", "quality")
+MODULES = ("bpe", "decontam", "langid", "minhash", "quality")
 
 
 def _merged(name: str) -> dict:
