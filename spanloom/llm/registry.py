@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "decontam", "langid", "minhash", "quality", "suffixes")
+MODULES = ("bpe", "decontam", "langid", "minhash", "quality", "sharding", "suffixes")
 
 
 def _merged(name: str) -> dict:
