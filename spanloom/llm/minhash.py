@@ -16,6 +16,8 @@ from spanloom.llm.words import U, mix, shingle_sets, words
 #: Rows of a band and bands: at a similarity of 0.8 a pair misses all bands in 1 of a million cases.
 ROWS, BANDS = 6, 46
 CHUNK = 1 << 16
+#: Documents that meet in one comparison of blocks, about.
+BLOCK = 48
 
 
 def second_permutation(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
@@ -117,6 +119,54 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
+def star_members(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """center, doc_id, component, stray: who shares a bucket with its smallest document, where they are of several components.
+
+    stray: not of the component that most of a center's members belong to.
+    """
+    near = buckets.where("doc_id <> center").select("center", "doc_id").distinct()
+    placed = near.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("center", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    placed = written(placed, "placed")
+    counts = placed.groupBy("center", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("center").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1")
+    return placed.join(main.select("center", F.col("top.component").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks")), "center").select("center", "doc_id", "component", (F.col("component") != F.col("main")).alias("stray"), F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"))
+
+
+def links_between(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between strays of a center and all its members of other components.
+
+    Strays and members meet in blocks of about ``BLOCK`` documents, each block of strays with each
+    of members: so many comparisons take few rows, and a large group spreads over many tasks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for strays, others in zip(batch.column(0), batch.column(1)):
+                ids = np.array([o["doc_id"].as_py() for o in others])
+                parts = np.array([o["component"].as_py() for o in others])
+                values = [np.frombuffer(o["members"].as_buffer(), "<u8") for o in others]
+                sizes = np.array([len(v) for v in values])
+                of, flat = np.repeat(np.arange(len(ids)), sizes), np.concatenate(values)
+                for s in strays:
+                    own, me = np.frombuffer(s["members"].as_buffer(), "<u8"), s["doc_id"].as_py()
+                    at = np.searchsorted(own, flat)
+                    at[at == len(own)] = 0
+                    common = np.bincount(of[own[at] == flat], minlength=len(ids))
+                    fits = (100 * common >= percent * (len(own) + sizes - common)) & (parts != s["component"].as_py())
+                    a += [me] * int(fits.sum())
+                    b += ids[fits].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    full = written(members.join(sets, "doc_id"), "blocks")
+    content = F.collect_list(F.struct("doc_id", "component", "members"))
+    right = full.groupBy("center", "block").agg(content.alias("others"))
+    left = full.where("stray").groupBy("center", "block").agg(content.alias("strays")).withColumnRenamed("block", "stray_block")
+    blocks = members.select("center", "block").distinct()
+    pairs = members.where("stray").select("center", F.col("block").alias("stray_block")).distinct().join(blocks, "center")
+    return pairs.join(left, ["center", "stray_block"]).join(right, ["center", "block"]).select("strays", "others").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
@@ -124,12 +174,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     their union; ``component_id`` is the smallest doc_id reachable.
 
     * Documents of equal sets are one class; only its smallest doc_id goes on.
-    * Each member of a bucket is compared with the bucket's smallest, which links most groups
-      with as many comparisons as members.  Then, in every bucket, members outside the
-      component most of it belongs to are compared with all members of other components.
-      So each pair of a bucket that could still join two components is compared: components
-      are those of all pairs in all buckets, and within one component no pairs are formed.
-    * A bucket pair counts in the first band that the two share.
+    * Each member of a bucket is compared with the bucket's smallest, its center, which links most
+      groups with as many comparisons as members.  Then, around each center whose members are of
+      several components, those outside the largest are compared with all members of other components, in
+      blocks.  So each two documents of a bucket are compared or of one component already: components
+      are those of all pairs in all buckets, and no pairs are formed within one.
 
     Null or wordless texts have an empty set and link with nothing.  Rows without doc_id get a
     null component and are kept.  Repeated rows get equal answers.  Columns other than doc_id
@@ -143,10 +192,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
         "members",
     )
     reps = member.where("doc_id = rep AND n_shingles > 0").select("doc_id", "n_shingles", "bands").distinct()
-    keyed = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    keyed = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = written(keyed.join(shared, "key"), "buckets")
-    sizes = reps.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "bands")
+    sizes = reps.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles")
     sets = written(full_sets(docs, buckets.select("doc_id").distinct(), shingle).dropDuplicates(["doc_id"]), "sets")
     sizes = written(sizes, "sizes")
 
@@ -156,18 +205,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     star = star.join(sizes.selectExpr("doc_id AS a", "n_shingles AS n_a"), "a").join(sizes.selectExpr("doc_id AS b", "n_shingles AS n_b"), "b").where(alike).select("a", "b")
     found = written(links(star, sets, percent), "links")
     labels = components(found)
-
-    placed = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    placed = written(placed, "placed")
-    counts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = placed.join(main.select("key", F.col("top.component").alias("main")), "key")
-    mixed = written(mixed.join(sizes, "doc_id").select("key", "band", "doc_id", "component", "main", "n_shingles", "bands"), "mixed")
-    left = mixed.where("component <> main").selectExpr("key", "band", "doc_id AS a", "component AS c_a", "n_shingles AS n_a", "bands AS bands_a")
-    right = mixed.selectExpr("key", "doc_id AS b", "component AS c_b", "main", "n_shingles AS n_b", "bands AS bands_b")
-    once = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
-    rest = left.join(right, (left.key == right.key) & (F.col("c_a") != F.col("c_b")) & alike & ((F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b"))) & once).select("a", "b")
-    more = written(links(rest, sets, percent), "links")
+    more = written(links_between(star_members(buckets, labels), sets, percent), "links")
     final = components(found.union(more))
 
     out = member.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
