@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "chaining", "decontam", "langid", "minhash", "quality", "sharding", "suffixes")
+MODULES = ("bpe", "chaining", "decontam", "langid", "minhash", "pii", "quality", "sharding", "suffixes")
 
 
 def _merged(name: str) -> dict:
