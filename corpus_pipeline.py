@@ -7,8 +7,9 @@ which is written and read again as the next one's docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanloom.llm import minhash, quality
+from spanloom.llm import bpe, decontam, minhash, pii, quality
 from spanloom.llm.common import documents, session, written
 
 
@@ -22,9 +23,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.without_near_duplicates(docs)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    return decontam.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and terms that reveal it are generalised or removed; n_chars follows the text."""
+    clean = pii.sanitised(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids instead of texts, with the byte offset at which each token ends."""
+    return bpe.tokenized(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("minhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("personal_data", personal_data),
+    ("byte_bpe", byte_bpe),
 ]
 
 #: No stage's decisions can be expressed in SQL; tests hold them against brute force.
