@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     member = written(
-        signed.join(classes, ["n_shingles", "set_a", "set_b"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")),
+        signed.join(classes, ["n_shingles", "set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")),
         "members",
     )
     reps = member.where("doc_id = rep AND n_shingles > 0").select("doc_id", "n_shingles", "bands").distinct()
