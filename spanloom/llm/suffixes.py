@@ -37,8 +37,10 @@ SMALL = 1 << 15
 #: Window starts worked on at a time within a long text.
 BLOCK = 1 << 20
 POSITION = 24
-ROW = "k1 long, k2 long, doc_id long, m int, lo int, n int, need boolean"
-NAMES = ["k1", "k2", "doc_id", "m", "lo", "n", "need"]
+#: ``place`` packs the first string's start, the token's place after it, the number of strings, and whether the
+#: row's own strings are in question (1) or it only bears witness for others (0).
+ROW = "k1 long, k2 long, doc_id long, place long"
+NAMES = ["k1", "k2", "doc_id", "place"]
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -80,12 +82,9 @@ def sampled(data: np.ndarray, at: np.ndarray, length: int) -> dict[str, np.ndarr
     return {"doc": doc, "m": m - at[doc], "lo": lo - at[doc], "n": n, "k1": token[m].view(np.int64), "k2": k2.view(np.int64)}
 
 
-def _rows(ids: pa.Array, got: dict[str, np.ndarray], need: pa.Array | None = None) -> pa.RecordBatch:
-    doc = pa.array(got["doc"])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(got["k1"]), pa.array(got["k2"]), ids.take(doc)] + [pa.array(got[k], pa.int32()) for k in ("m", "lo", "n")] + [need if need is not None else pa.array(np.ones(len(doc), bool))],
-        NAMES,
-    )
+def _rows(ids: pa.Array, got: dict[str, np.ndarray], need: np.ndarray | int = 1) -> pa.RecordBatch:
+    place = (((got["lo"] << 12 | got["m"] - got["lo"]) << 12 | got["n"]) << 1) | need
+    return pa.RecordBatch.from_arrays([pa.array(got["k1"]), pa.array(got["k2"]), ids.take(pa.array(got["doc"])), pa.array(place)], NAMES)
 
 
 def suffixes(docs: DataFrame, length: int) -> DataFrame:
@@ -126,19 +125,19 @@ def multikey_quicksort(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-FOUND = "bucket int, k1 long, k2 long, doc_id long, m int, lo int, n int, need boolean, twice1 boolean, twice2 boolean, mixed boolean, lead boolean, head1 boolean, head2 boolean, tail1 boolean, tail2 boolean"
+FOUND = "bucket int, k1 long, k2 long, doc_id long, place long, twice1 boolean, twice2 boolean, mixed boolean, lead boolean, head1 boolean, head2 boolean, tail1 boolean, tail2 boolean"
 
 
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sort a bucket; keep rows whose k1 repeats in it and the runs at its two ends."""
+    """Sort a bucket; keep rows whose k1 repeats in it and the runs at its two ends, which alone keep their keys."""
     from pyspark import TaskContext
 
     parts = list(batches)
     if not sum(b.num_rows for b in parts):
         return
     table = pa.Table.from_batches(parts).combine_chunks()
-    k1, k2, doc, m = (table.column(i).to_numpy() for i in range(4))
-    order = multikey_quicksort([k1, k2, doc, m])
+    k1, k2, doc, place = (table.column(i).to_numpy() for i in range(4))
+    order = multikey_quicksort([k1, k2, doc, place])
     k1, k2 = k1[order], k2[order]
     new1 = np.concatenate([[True], k1[1:] != k1[:-1]])
     new2 = new1 | np.concatenate([[True], k2[1:] != k2[:-1]])
@@ -147,10 +146,10 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = np.bincount(run1[new2])
     got = [size1[run1] > 1, size2[run2] > 1, kinds[run1] > 1, new2, run1 == 0, run2 == 0, run1 == run1[-1], run2 == run2[-1]]
     keep = np.flatnonzero(got[0] | got[4] | got[6])
-    rows = table.take(pa.array(order[keep]))
+    inside = ~(got[4] | got[6])[keep]
     bucket = pa.array(np.full(len(keep), TaskContext.get().partitionId()), pa.int32())
     names = [x.split()[0] for x in FOUND.split(", ")]
-    out = pa.Table.from_arrays([bucket, *rows.columns, *(pa.array(g[keep]) for g in got)], names)
+    out = pa.Table.from_arrays([bucket, pa.array(k1[keep], mask=inside), pa.array(k2[keep], mask=inside), pa.array(doc[order[keep]]), pa.array(place[order[keep]]), *(pa.array(g[keep]) for g in got)], names)
     yield from out.to_batches(max_chunksize=20_000)
 
 
@@ -163,7 +162,7 @@ def compared(rows: DataFrame, name: str) -> DataFrame:
     spark = rows.sparkSession
     rows = written(rows, f"{name}-rows")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BUCKET_ROWS))
-    found = written(rows.repartitionByRange(buckets, "k1", "k2", "doc_id", "m", "lo").mapInArrow(_bucket, FOUND), f"{name}-found")
+    found = written(rows.repartitionByRange(buckets, "k1", "k2", "doc_id", "place").mapInArrow(_bucket, FOUND), f"{name}-found")
     key = F.struct("k1", "k2")
     ends = found.where("head1 OR tail1").groupBy("bucket").agg(F.min(key).alias("first"), F.max(key).alias("last")).orderBy("bucket").collect()
     joins = {r["bucket"]: [False] * 4 for r in ends}
@@ -176,15 +175,15 @@ def compared(rows: DataFrame, name: str) -> DataFrame:
     both = found.join(F.broadcast(patch), "bucket", "left").fillna(False, ["prev1", "prev2", "next1", "next2"])
     crosses = F.expr("(head1 AND prev1) OR (tail1 AND next1)")
     twice = F.expr("twice2 OR (head2 AND prev2) OR (tail2 AND next2)")
-    return both.where(F.col("twice1") | crosses).select("doc_id", "m", "lo", "n", "need", twice.alias("twice"), ((F.col("mixed") | crosses) & (~twice | F.col("lead"))).alias("pass_on"))
+    return both.where(F.col("twice1") | crosses).select("doc_id", "place", twice.alias("twice"), ((F.col("mixed") | crosses) & (~twice | F.col("lead"))).alias("pass_on"))
 
 
-PLACE = T.StructType([T.StructField("m", T.IntegerType()), T.StructField("lo", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("need", T.BooleanType())])
+NEED = "place % 2 = 1"
 
 
 def _listed(found: DataFrame) -> DataFrame:
-    """Per document, its rows to pass on; no more than the document has bytes."""
-    rows = found.where("pass_on").select("doc_id", F.struct("m", "lo", "n", (F.col("need") & ~F.col("twice")).alias("need")).alias("p"))
+    """Per document, the places of its rows to pass on; no more than the document has bytes."""
+    rows = found.where("pass_on").select("doc_id", F.expr(f"place - IF(twice AND {NEED}, 1, 0)").alias("p"))
     return rows.groupBy("doc_id").agg(F.sort_array(F.collect_set("p")).alias("places"))
 
 
@@ -196,10 +195,10 @@ def refined(texts: DataFrame, found: DataFrame, length: int, cell: int) -> DataF
             data, at = raw(text)
             column = batch.column(2)
             counts = np.diff(column.offsets.to_numpy())
-            place = column.flatten()
+            place = column.flatten().to_numpy()
             doc = np.repeat(np.arange(len(text)), counts)
-            m, lo, n = (place.field(i).to_numpy().astype(np.int64) for i in range(3))
-            need = place.field(3).to_numpy(zero_copy_only=False)
+            lo, n, need = place >> 25, place >> 1 & 4095, place & 1
+            m = lo + (place >> 13 & 4095)
             near, far = m - (lo + n - 1), m - lo
             first, last = near // cell, far // cell
             many = last - first + 1
@@ -220,7 +219,7 @@ def refined(texts: DataFrame, found: DataFrame, length: int, cell: int) -> DataF
                     k1 = data[lead].copy().view(">u8").reshape(-1).astype(np.uint64)
                 k2 = _cover(prefix, b - d2[s], b - d1[s], length, (d1[s] * 1024 + d2[s]) if cell > 1 else 0 * d1[s])
                 got = {"doc": doc[of[s]], "m": m[of[s]], "lo": m[of[s]] - d2[s], "n": d2[s] - d1[s] + 1, "k1": k1.view(np.int64), "k2": k2.view(np.int64)}
-                yield _rows(batch.column(0), got, pa.array(need[of[s]]))
+                yield _rows(batch.column(0), got, need[of[s]])
 
     return texts.join(_listed(found), "doc_id").select("doc_id", "text", "places").mapInArrow(run, ROW)
 
@@ -228,10 +227,11 @@ def refined(texts: DataFrame, found: DataFrame, length: int, cell: int) -> DataF
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """Spans (doc_id, start, end; bytes) whose union is what repeated strings cover, and the texts with such spans or candidates."""
     level = written(compared(suffixes(docs, length), "suffixes"), "suffixes")
-    texts = written(docs.join(level.where("(need AND twice) OR pass_on").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "texts")
+    texts = written(docs.join(level.where(f"({NEED} AND twice) OR pass_on").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "texts")
     spans = None
     for name, cell in (("cells", CELL), ("strings", 1), (None, 0)):
-        done = level.where("need AND twice").select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end"))
+        start = F.shiftright("place", 25)
+        done = level.where(f"{NEED} AND twice").select("doc_id", start.alias("start"), (start + F.shiftright("place", 1).bitwiseAND(4095) - 1 + length).alias("end"))
         spans = done if spans is None else spans.union(done)
         if name:
             level = written(compared(refined(texts, level, length, cell), name), name)
