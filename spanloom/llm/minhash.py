@@ -129,7 +129,8 @@ def star_members(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     placed = written(placed, "placed")
     counts = placed.groupBy("center", "component").agg(F.count("*").alias("n"))
     main = counts.groupBy("center").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1")
-    return placed.join(main.select("center", F.col("top.component").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks")), "center").select("center", "doc_id", "component", (F.col("component") != F.col("main")).alias("stray"), F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"))
+    main = written(main.select("center", F.col("top.component").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks")), "main")
+    return placed.join(main, "center").select("center", "doc_id", "component", (F.col("component") != F.col("main")).alias("stray"), F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"))
 
 
 def links_between(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -186,7 +187,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     """
     signed = written(signatures(docs, shingle, rows, bands), "signatures")
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
+    classes = written(some.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
     member = written(
         signed.join(classes, ["n_shingles", "set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")),
         "members",
@@ -194,7 +195,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     reps = member.where("doc_id = rep AND n_shingles > 0").select("doc_id", "n_shingles", "bands").distinct()
     keyed = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = written(keyed.join(shared, "key"), "buckets")
+    buckets = written(keyed.join(written(shared, "shared"), "key"), "buckets")
     sizes = reps.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles")
     sets = written(full_sets(docs, buckets.select("doc_id").distinct(), shingle).dropDuplicates(["doc_id"]), "sets")
     sizes = written(sizes, "sizes")
