@@ -84,15 +84,30 @@ class Blocks:
         return low
 
 
-def _ends(groups: DataFrame, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Block ends and group numbers inside the ranges (start, end] of running size."""
-    each = max(2, BLOCKS // len(ranges))
-    block = F.lit(None).cast("long")
-    for k, (a, b) in enumerate(ranges):
-        inside = (F.col("to_size") > a) & (F.col("to_size") <= b)
-        block = F.when(inside, k * each + F.expr(f"CAST((to_size - {a} - 1) div {-(-(b - a) // each)} AS BIGINT)")).otherwise(block)
-    rows = groups.select("to_size", block.alias("block")).where("block IS NOT NULL").groupBy("block").agg(F.max("to_size").alias("end"), F.count("*").alias("n"))
-    return sorted((r["end"], r["n"]) for r in rows.collect())
+def _ends(groups: DataFrame, todo: list[tuple[int, int]]) -> dict[int, tuple[int, int]]:
+    """Finer blocks of those given by their first and last group end: last end -> (first end, groups).
+
+    A block of several groups falls into two at least, as its first and last end part.
+    """
+    first, last = (np.array(x, np.int64) for x in zip(*todo))
+    each = max(2, BLOCKS // len(todo))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            end = batch.column(0).to_numpy()
+            i = np.minimum(np.searchsorted(last, end), len(last) - 1)
+            inside = (end >= first[i]) & (end <= last[i])
+            end, i = end[inside], i[inside]
+            block = i * each + (end - first[i]) * each // (last[i] - first[i] + 1)
+            ids, of = np.unique(block, return_inverse=True)
+            low, high = np.full(len(ids), np.iinfo(np.int64).max), np.zeros(len(ids), np.int64)
+            np.minimum.at(low, of, end)
+            np.maximum.at(high, of, end)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, low, high, np.bincount(of, minlength=len(ids)))], ["block", "low", "high", "n"])
+
+    parts = groups.select("to_size").where(F.col("to_size").between(int(first[0]), int(last[-1]))).mapInArrow(run, "block long, low long, high long, n long")
+    rows = parts.groupBy("block").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).collect()
+    return {r["high"]: (r["low"], r["n"]) for r in rows}
 
 
 def minimax(groups: DataFrame, shards: int) -> list[int]:
@@ -110,33 +125,22 @@ def minimax(groups: DataFrame, shards: int) -> list[int]:
     total = groups.agg(F.max("to_size")).first()[0]
     if not total:
         return [0] * shards
-    found = dict(_ends(groups, [(0, total)]))
+    found = _ends(groups, [(0, total)])
     even = [total * i // shards for i in range(1, shards)]
     while True:
         ends = sorted(found)
-        known = Blocks(ends, [found[e] == 1 for e in ends])
+        known = Blocks(ends, [found[e][1] == 1 for e in ends])
         least, most = known.smallest(shards, True), known.smallest(shards, False)
-        far, near = known.cuts(most, shards, True), known.cuts(least, shards, False) or []
         if least == most:
             break
-        spans = []
-        at = 0
-        for i, high in enumerate(far):
+        near, at = {bisect_left(ends, e) for e in even}, 0
+        for high in known.cuts(most, shards, True):
             at = min(known.cut(at, least, False), total)
-            a, b = bisect_left(ends, at), min(bisect_left(ends, high), len(ends) - 1)
-            spans += [j for j in range(min(a, b), b + 1) if found[ends[j]] > 1]
-        spans += [bisect_left(ends, e) for e in even]
-        todo = sorted({j for j in spans if found[ends[j]] > 1})
-        ranges: list[list[int]] = []
-        for j in todo:
-            start = ends[j - 1] if j else 0
-            if ranges and ranges[-1][1] == start:
-                ranges[-1][1] = ends[j]
-            else:
-                ranges.append([start, ends[j]])
-        for j in todo:
-            del found[ends[j]]
-        found |= dict(_ends(groups, [tuple(r) for r in ranges]))
+            near |= set(range(bisect_left(ends, at), min(bisect_left(ends, high), len(ends) - 1) + 1))
+        todo = [(found[ends[j]][0], ends[j]) for j in sorted(near) if found[ends[j]][1] > 1]
+        for _, end in todo:
+            del found[end]
+        found |= _ends(groups, todo)
     return balanced(ends, known, most, shards)
 
 
