@@ -143,6 +143,23 @@ def boundaries(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(opens[:n] | starts[state, symbol])
 
 
+def looked_up(words: list[str], seen: dict, make) -> list:
+    """What ``make`` makes of each pre-token's bytes, from memory where it can; long ones aren't remembered."""
+    found = list(map(seen.get, words))
+    if None in found:
+        for i, known in enumerate(found):
+            if known is None:
+                known = seen.get(words[i])
+                if known is None:
+                    if len(seen) >= CACHE:
+                        seen.clear()
+                    known = make(words[i].encode())
+                    if len(words[i]) <= LONG:
+                        seen[words[i]] = known
+                found[i] = known
+    return found
+
+
 class Tokenizer:
     """Ranks of one vocabulary, and the tokens of pre-tokens seen lately."""
 
@@ -197,29 +214,21 @@ class Tokenizer:
                 heapq.heappush(heap, (r, h, stop))
         return tuple([ranks[piece[i : end[i]]] for i in range(n) if not gone[i]])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text."""
+    def words(self, texts: list[str]) -> tuple[list[str], list[int]]:
+        """The pre-tokens of all texts, and how many come before each text and the end."""
         whole = "".join(texts)
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         at = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) for t in texts], out=at[1:])
         cuts = boundaries(points, at[:-1][np.diff(at) > 0])
-        bounds = np.searchsorted(cuts, at)
         edges = [*cuts.tolist(), len(whole)]
-        words = [whole[a:b] for a, b in zip(edges, edges[1:])]
-        found = list(map(self.seen.get, words))
-        if None in found:
-            for i, tokens in enumerate(found):
-                if tokens is None:
-                    tokens = self.seen.get(words[i])
-                    if tokens is None:
-                        if len(self.seen) >= CACHE:
-                            self.seen.clear()
-                        tokens = self.merged(words[i].encode())
-                        if len(words[i]) <= LONG:
-                            self.seen[words[i]] = tokens
-                    found[i] = tokens
-        return [list(chain.from_iterable(found[a:b])) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        return [whole[a:b] for a, b in zip(edges, edges[1:])], np.searchsorted(cuts, at).tolist()
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
+        words, bounds = self.words(texts)
+        found = looked_up(words, self.seen, self.merged)
+        return [list(chain.from_iterable(found[a:b])) for a, b in zip(bounds, bounds[1:])]
 
     def ends(self, ids: list[int]) -> np.ndarray:
         """Where each token ends in its text's bytes."""

@@ -3,32 +3,55 @@
 from __future__ import annotations
 
 import uuid
+from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.bpe import RANKS, tokenizer
+from spanloom.llm.bpe import RANKS, looked_up, tokenizer
 from spanloom.llm.common import documents, runs, written
 from spanloom.session import shared_folder
 
 #: Versions counted, and their rank files.
 TOKENIZERS = {"byte_bpe_50k": RANKS, "byte_bpe_multi_50k": public_tokenizers.path("byte_bpe_multi_50k.tiktoken")}
+#: Bits of a count of tokens.
+FIELD = 40
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = ["n_docs", "n_tokens"]
-CHANGE = "doc_id long, source string, lang string, tokenizer string, n_tokens long, was_source string, was_lang string, was_tokens long"
 
 
-def token_count(text: Column, path: str) -> Column:
-    """Tokens of a whole text under one vocabulary; null and empty texts have none."""
+@lru_cache(4)
+def counting(paths: tuple[str, ...]):
+    """A function from texts to their numbers of tokens under each vocabulary.
 
-    @F.arrow_udf(T.LongType())
+    A pre-token's counts are remembered as one number, ``FIELD`` bits for each vocabulary, so
+    that one look-up and one sum serve all of them.
+    """
+    tools, seen = [tokenizer(p) for p in paths], {}
+
+    def packed(piece: bytes) -> int:
+        return sum(len(t.merged(piece)) << FIELD * i for i, t in enumerate(tools))
+
+    def count(texts: list[str]) -> list[list[int]]:
+        words, bounds = tools[0].words(texts)
+        found = looked_up(words, seen, packed)
+        sums = [sum(found[a:b]) for a, b in zip(bounds, bounds[1:])]
+        return [[s >> FIELD * i & (1 << FIELD) - 1 for i in range(len(tools))] for s in sums]
+
+    return count
+
+
+def token_counts(text: Column, paths: list[str]) -> Column:
+    """Array of a whole text's numbers of tokens, one for each vocabulary; null and empty texts have none."""
+    fixed = tuple(paths)
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
     def count(column: pa.Array) -> pa.Array:
-        bpe = tokenizer(path)
-        return pa.array(np.array([len(ids) for texts in runs(column) for ids in bpe.encode(texts.to_pylist())], np.int64))
+        of = counting(fixed)
+        return pa.array([n for texts in runs(column) for n in of(texts.to_pylist())], pa.list_(pa.int64()))
 
     return count.asNondeterministic()(text.cast("string"))
 
@@ -155,9 +178,9 @@ def maintained(docs: DataFrame, tokenizers: dict[str, str], folder: str) -> Data
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
     rows = rows.select("doc_id", "source", "lang", F.sha2("text", 256).alias("key"), "text", F.when(text.rlike(DECORATION), plain).alias("plain"))
     versions = list(tokenizers.items())
-    for i, (_, path) in enumerate(versions):
-        rows = rows.withColumn(f"n{i}", token_count(F.col("text"), path)).withColumn(f"r{i}", token_count(F.col("plain"), path))
-    wide = F.array(*(F.struct(F.lit(name).alias("tokenizer"), F.col(f"n{i}").alias("n"), F.when(F.col("plain").isNotNull(), F.col(f"r{i}")).alias("r")) for i, (name, _) in enumerate(versions)))
+    paths = [path for _, path in versions]
+    rows = rows.withColumn("n", token_counts(F.col("text"), paths)).withColumn("r", token_counts(F.col("plain"), paths))
+    wide = F.array(*(F.struct(F.lit(name).alias("tokenizer"), F.col("n")[i].alias("n"), F.when(F.col("plain").isNotNull(), F.col("r")[i]).alias("r")) for i, (name, _) in enumerate(versions)))
     counted = written(rows.select("doc_id", "source", "lang", "key", F.monotonically_increasing_id().alias("row"), wide.alias("counts")), "counts")
     each = counted.select("doc_id", "source", "lang", F.inline("counts"))
     changed = each.where("r IS NOT NULL")
