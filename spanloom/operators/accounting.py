@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.payload import child, get, metric_number
+from spanloom.operators.usage import newest
 
 SESSION = ["platform", "session_id"]
 CALL = [*SESSION, "logical_call_id"]
@@ -55,15 +56,13 @@ def current_revisions(revisions: DataFrame) -> DataFrame:
     A row id seen in more than one database generation quarantines all its calls; so do
     cache counts that exceed the input.
     """
-    bounds = revisions.groupBy(*CALL).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("pos"))
-    newest = revisions.join(bounds, [*CALL, "pos"])
     reused = (
         revisions.groupBy(*SESSION, "primary_key")
         .agg(F.min("generation").alias("lo"), F.max("generation").alias("hi"))
         .where("lo <> hi")
         .select(*SESSION, "primary_key", F.lit(True).alias("reused"))
     )
-    out = newest.join(reused, [*SESSION, "primary_key"], "left")
+    out = newest(revisions, CALL).join(reused, [*SESSION, "primary_key"], "left")
     reason = F.when(F.col("reused"), "usage_row_id_reuse").when(_incompatible(), "usage_revision_conflict")
     return out.withColumn("quarantine", reason).drop("reused")
 

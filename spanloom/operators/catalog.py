@@ -52,15 +52,16 @@ def sessions_with_tags(sessions: DataFrame, live_tags: DataFrame, tags: list[str
 
 
 def resolve_prefix(sessions: DataFrame, prefix: str) -> DataFrame:
-    """The one session named by ``[platform:]prefix``; fails on none or several."""
+    """The one session named by ``[platform:]prefix``; fails on none or several, with all of them as the error's ``candidates``."""
     platform, _, bare = prefix.rpartition(":")
     found = sessions.where(F.col("session_id").startswith(bare)).select(*SESSION)
     if platform:
         found = found.where(F.col("platform") == platform)
-    head = found.orderBy(*SESSION).limit(6).collect()
-    if len(head) != 1:
-        names = ", ".join(f"{r.platform}:{r.session_id}" for r in head)
-        raise LookupError(f"{prefix!r} names {'no session' if not head else 'several sessions: ' + names}")
+    head = found.limit(2).count()
+    if head != 1:
+        error = LookupError(f"{prefix!r} names {'several sessions' if head else 'no session'}")
+        error.candidates = found.orderBy(*SESSION)
+        raise error
     return found
 
 

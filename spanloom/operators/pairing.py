@@ -461,7 +461,9 @@ def task_for_child(starts: DataFrame, children: DataFrame, *, hour_bins: int = 1
         .agg(F.min_by("task_id", "task_seq").alias("task_id"))
     )
     micros = lambda c: F.expr(f"unix_micros(cast({c} as timestamp))")
-    left = starts.select(*SESSION, (micros("ts") * 2).alias("at"), "child_id", F.lit(None).cast("string").alias("child_session"))
+    # Of starts at one time, the later in event order counts, which also makes the order unique.
+    last = starts.where("ts IS NOT NULL").groupBy(*SESSION, (micros("ts") * 2).alias("at")).agg(F.max_by("child_id", "seq").alias("child_id"))
+    left = last.select(*SESSION, "at", "child_id", F.lit(None).cast("string").alias("child_session"))
     free = children.join(named.select(*SESSION, "child_session"), [*SESSION, "child_session"], "left_anti").where("child_ts is not null")
     right = free.select(*SESSION, (micros("child_ts") * 2 + 1).alias("at"), F.lit(None).cast("string").alias("child_id"), "child_session")
     seen = scan(

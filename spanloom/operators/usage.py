@@ -18,12 +18,17 @@ SESSION = ["platform", "session_id"]
 def dedup_calls(usage: DataFrame) -> DataFrame:
     """One row per call: the last occurrence, with ``first_pos`` of the first one.
 
-    The bounds of each call come from a hash aggregation that folds repeats on the map
-    side; the rows then meet them on call and position, so a call repeated without end
-    is spread by position.  ``pos`` must be unique within a call.
+    One shuffle: repeats fold on the map side.  A position can occur twice, in two files of a
+    session; then the later file (column ``file``, if there is one) and at last a digest
+    of the row decide, so the answer never depends on input order.
     """
-    bounds = usage.groupBy(*CALL_KEY).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("pos"))
-    return usage.join(bounds, [*CALL_KEY, "pos"]).select(*usage.columns, "first_pos")
+    return newest(usage, CALL_KEY)
+
+
+def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The last row of each key by (pos, file, digest), with ``first_pos``."""
+    order = F.struct("pos", *(c for c in ("file",) if c in rows.columns), F.xxhash64(*rows.columns).alias("digest"))
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("row"), F.min("pos").alias("first_pos")).select("row.*", "first_pos")
 
 
 def with_total(calls: DataFrame) -> DataFrame:
@@ -220,15 +225,13 @@ def token_spikes(calls: DataFrame, *, output_over: int = 4000, input_over: int =
     return out.where((F.col("output_tokens") > output_over) | (F.col("input_tokens") > input_over))
 
 
-def price_calls(calls: DataFrame, prices: DataFrame, *, broadcast_rows: int = 100_000) -> DataFrame:
+def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost per call from a price table (model, four prices per million tokens).
 
     Stored input includes both caches, so fresh input is what is left after them.
-    Unknown models and rows with native billing units get NULL.  The price table is
-    broadcast only when a bounded count proves it small.
+    Unknown models and rows with native billing units get NULL.  How the price table is
+    joined is left to adaptive execution.
     """
-    small = prices.limit(broadcast_rows + 1).count() <= broadcast_rows
-    side = F.broadcast(prices) if small else prices
     read = F.coalesce(F.col("cache_read_input_tokens"), F.lit(0))
     wrote = F.coalesce(F.col("cache_creation_input_tokens"), F.lit(0))
     fresh = F.col("input_tokens") - read - wrote
@@ -240,22 +243,29 @@ def price_calls(calls: DataFrame, prices: DataFrame, *, broadcast_rows: int = 10
     ) / F.lit(1_000_000)
     if "total_nano_aiu" in calls.columns:
         cost = F.when(F.col("total_nano_aiu").isNull(), cost)
-    return calls.join(side, "response_model", "left").withColumn("cost", F.when(fresh >= 0, cost)).drop(
+    return calls.join(prices, "response_model", "left").withColumn("cost", F.when(fresh >= 0, cost)).drop(
         "input_price", "output_price", "read_price", "write_price"
     )
 
 
 def turn_model(calls: DataFrame, keys: Sequence[str], order: str, *, fallback: Column | None = None) -> DataFrame:
-    """Most frequent model per group, the earliest one on a tie."""
+    """Most frequent model per group, the earliest one on a tie.
+
+    ``fallback`` names the model of groups whose calls name none; without it they are left out.
+    """
     counted = (
         calls.where(F.coalesce(F.col("response_model"), F.lit("")) != "")
         .groupBy(*keys, "response_model")
         .agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("seen"))
     )
-    return counted.groupBy(*keys).agg(
+    out = counted.groupBy(*keys).agg(
         F.max_by("response_model", F.struct(F.col("n"), (-F.col("seen")).alias("s"))).alias("model"),
         F.sum("n").alias("calls"),
     )
+    if fallback is None:
+        return out
+    groups = calls.groupBy(*keys).agg(F.max(fallback).alias("fallback"))
+    return groups.join(out, list(keys), "left").select(*keys, F.coalesce("model", "fallback").alias("model"), F.coalesce("calls", F.lit(0)).alias("calls"))
 
 
 def usage_labels(calls: DataFrame, native: DataFrame) -> DataFrame:

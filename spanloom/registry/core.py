@@ -195,19 +195,19 @@ _add("resolve_prefix", lambda s, d: catalog.resolve_prefixes(
     SELECT prefix, coalesce(matches, 0) AS matches, CASE WHEN matches = 1 THEN platform END AS platform, CASE WHEN matches = 1 THEN session_id END AS session_id FROM p LEFT JOIN m USING (prefix)""", "sessions"))
 _add("suggest_sessions", lambda s, d: catalog.suggest_sessions(V.sessions(s, d), "1").select(*_SESS), with_views(
     f"SELECT {', '.join(_SESS)} FROM sessions WHERE starts_with(session_id, '1') ORDER BY platform, session_id LIMIT 10", "sessions"))
-_add("newest_sessions", lambda s, d: catalog.newest_sessions(V.sessions(s, d)).select(*_SESS).limit(50), with_views(
-    f"SELECT {', '.join(_SESS)} FROM sessions ORDER BY started_at DESC, platform, session_id LIMIT 50", "sessions"))
+_add("newest_sessions", lambda s, d: catalog.newest_sessions(V.sessions(s, d)).select(*_SESS), with_views(
+    f"SELECT {', '.join(_SESS)} FROM sessions ORDER BY started_at DESC, platform, session_id", "sessions"))
 _add("store_stats", lambda s, d: catalog.store_stats(V.sessions(s, d)), with_views(
     "SELECT count(*) AS sessions, CAST(sum(event_count) AS BIGINT) AS events FROM sessions", "sessions"))
 _add("vocabulary", lambda s, d: catalog.vocabulary(V.sessions(s, d), _live(s, d)), with_views(
     """SELECT DISTINCT 'platform' AS kind, platform AS value, CAST(0 AS BIGINT) AS weight FROM sessions
     UNION ALL SELECT * FROM (SELECT 'cwd', cwd, CAST(0 AS BIGINT) FROM sessions GROUP BY cwd ORDER BY max(platform || chr(1) || session_id) DESC LIMIT 20)
     UNION ALL SELECT * FROM (SELECT 'tag', tag, count(DISTINCT platform || session_id) AS w FROM live_tags GROUP BY tag ORDER BY w DESC, tag LIMIT 50)""", "sessions", "live_tags"))
-_add("recent_cwds", lambda s, d: catalog.recent_cwds(V.sessions(s, d), 4), with_views(
+_add("recent_cwds", lambda s, d: catalog.recent_cwds(V.sessions(s, d), 20), with_views(
     """SELECT cwd, last(platform ORDER BY platform, session_id) AS platform, last(session_id ORDER BY platform, session_id) AS session_id
-    FROM sessions GROUP BY cwd ORDER BY max(platform || chr(1) || session_id) DESC LIMIT 4""", "sessions"))
-_add("top_tags", lambda s, d: catalog.top_tags(_live(s, d), 3), with_views(
-    "SELECT tag, count(DISTINCT platform || session_id) AS sessions FROM live_tags GROUP BY tag ORDER BY sessions DESC, tag LIMIT 3", "live_tags"))
+    FROM sessions GROUP BY cwd ORDER BY max(platform || chr(1) || session_id) DESC LIMIT 20""", "sessions"))
+_add("top_tags", lambda s, d: catalog.top_tags(_live(s, d), 50), with_views(
+    "SELECT tag, count(DISTINCT platform || session_id) AS sessions FROM live_tags GROUP BY tag ORDER BY sessions DESC, tag LIMIT 50", "live_tags"))
 _add("cohort", lambda s, d: catalog.cohort(V.sessions(s, d), more_than=60, cwd_like=r"/\.workbench/.+/task-").select(*_SESS), with_views(
     f"SELECT {', '.join(_SESS)} FROM sessions WHERE event_count > 60 AND regexp_matches(cwd, '/\\.workbench/.+/task-')", "sessions"))
 

@@ -153,7 +153,7 @@ _add("codex_tool_spans", lambda s, d: codex.tool_spans(_codex_rows(s, d)).select
 def _copies(s, d):
     """Chat turns as messages, each user text once more as a completed item; some items repeat their id."""
     chat = V.table(s, d, "conversations").selectExpr(
-        "'codex' as platform", "concat('c', cast(conv_id div 4 as string)) as session_id", "(conv_id * 100 + turn) * 4 as pos", "role", "turn", "conv_id", "substring(text, 1, 3) as word"
+        "'codex' as platform", "concat('c', cast(conv_id div 4 as string)) as session_id", "(conv_id * 100 + turn) * 4 as pos", "role", "turn", "conv_id", "text as word"
     )
     item = "named_struct('type', case role when 'user' then 'UserMessage' else 'AgentMessage' end, 'id', {i}, 'phase', 'p', 'content', array(named_struct('text', word)))"
     turn = "try_parse_json(to_json(named_struct('type', 'turn_context', 'payload', named_struct('turn_id', cast(conv_id div 4 as string))))) as frame"
@@ -167,7 +167,7 @@ def _copies(s, d):
     return codex.normal_messages(codex.turn_frames(frames)).where("is_message or is_copy").select(*P, "pos", "role", F.col("text").alias("word"))
 
 
-_add("dedup_messages", _copies, """WITH c AS (SELECT 'codex' AS platform, 'c' || CAST(conv_id // 4 AS VARCHAR) AS session_id, (conv_id * 100 + turn) * 4 AS pos, role, turn, substr(text, 1, 3) AS word FROM conversations WHERE role <> 'system'),
+_add("dedup_messages", _copies, """WITH c AS (SELECT 'codex' AS platform, 'c' || CAST(conv_id // 4 AS VARCHAR) AS session_id, (conv_id * 100 + turn) * 4 AS pos, role, turn, text AS word FROM conversations WHERE role <> 'system'),
     own AS (SELECT platform, session_id, pos, role, word FROM c WHERE turn % 3 <> 2),
     cp AS (SELECT platform, session_id, pos + 1 AS pos, role, word FROM c QUALIFY row_number() OVER (PARTITION BY session_id, turn ORDER BY pos) = 1
         UNION ALL SELECT platform, session_id, pos + 2, role, word FROM c WHERE role = 'user'),
@@ -374,13 +374,13 @@ _add("cycle_order", lambda s, d: attribution.cycle_order(_kit(s, d)[0]).select("
 
 def _direct(s, d):
     calls, _, usage = _kit(s, d)
-    left = usage.selectExpr(*P, "logical_call_id", "concat('n', cast(l_orderkey div 3 as string)) as native_id").where("l_linenumber > 3" if "l_linenumber" in usage.columns else "true")
+    left = usage.selectExpr(*P, "logical_call_id", "concat('n', cast(l_orderkey div 3 as string)) as native_id")
     right = calls.selectExpr(*P, "call_id", "case when pos % 3 = 0 or pos % 7 = 0 then concat('n', cast(pos div 3 as string)) end as native_id").where("native_id is not null")
     return attribution.direct_matches(left, right).select("logical_call_id", "direct_call", "direct_status")
 
 
 _add("direct_usage_match", lambda s, d: _direct(s, d), _sql(
-    """+l AS (SELECT session_id, logical_call_id, 'n' || CAST(l_orderkey // 3 AS VARCHAR) AS id FROM ku WHERE l_linenumber > 3), r AS (SELECT session_id, call_id, 'n' || CAST(pos // 3 AS VARCHAR) AS id FROM kc WHERE pos % 3 = 0 OR pos % 7 = 0)
+    """+l AS (SELECT session_id, logical_call_id, 'n' || CAST(l_orderkey // 3 AS VARCHAR) AS id FROM ku), r AS (SELECT session_id, call_id, 'n' || CAST(pos // 3 AS VARCHAR) AS id FROM kc WHERE pos % 3 = 0 OR pos % 7 = 0)
     SELECT logical_call_id, CASE WHEN count(DISTINCT call_id) = 1 THEN min(call_id) END AS direct_call, CASE WHEN count(DISTINCT call_id) = 1 THEN 'matched' ELSE 'conflicting' END AS direct_status
     FROM l JOIN r USING (session_id, id) GROUP BY logical_call_id""", "ku", "kc"))
 

@@ -266,17 +266,21 @@ def latest_transcript_turn(messages: DataFrame) -> DataFrame:
 def export_cases(sessions: DataFrame, rows: DataFrame, out: str, *, per_part: int = 1000, keys: tuple[str, ...] = ("platform", "session_id")) -> int:
     """Write one case per session or turn as JSON and return the number of cases.
 
-    A case holds its catalog row and its events in parts of at most ``per_part`` events, so
-    no case is ever gathered whole.  An empty result is an error.
+    ``out``/cases holds one row per case: its catalog row and its number of events, 0 for a session
+    without any.  ``out``/parts holds the events, in parts of at most ``per_part``, so no case is
+    ever gathered whole.  An empty result is an error.
     """
     from spanloom.functions.ordered import number
 
     numbered = number(rows, list(keys), "seq", "n").withColumn("part", F.expr(f"n div {per_part}"))
     cell = F.struct(*[c for c in ("seq", "t", "ts", "event_text") if c in rows.columns])
-    parts = numbered.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(cell)).alias("events"))
-    cases = sessions.join(parts, [k for k in keys if k in sessions.columns])
-    cases.write.mode("errorifexists").option("maxRecordsPerFile", 100).json(out)
-    n = rows.sparkSession.read.json(out).select(*keys).distinct().count() if not cases.isEmpty() else 0
+    own = [k for k in keys if k in sessions.columns]
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n_events"))
+    cases = sessions.join(counts, own, "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)))
+    n = cases.count()
     if n == 0:
         raise LookupError("no session or turn matches the export")
+    cases.write.mode("errorifexists").option("maxRecordsPerFile", 100).json(f"{out}/cases")
+    parts = numbered.join(sessions.select(*own).distinct(), own, "left_semi").groupBy(*keys, "part").agg(F.sort_array(F.collect_list(cell)).alias("events"))
+    parts.write.mode("errorifexists").option("maxRecordsPerFile", 100).json(f"{out}/parts")
     return n

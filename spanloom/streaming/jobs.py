@@ -7,12 +7,10 @@ keep the newest row or version.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -21,23 +19,23 @@ from pyspark.sql.types import IntegerType, StructType
 
 from spanloom.functions.ordered import latest
 from spanloom.operators.usage import CALL_KEY, usage_by_day
+from spanloom.session import shared_folder
 
 SESSION = ["platform", "session_id"]
 ABANDONED_MS = 6 * 3600 * 1000  # fixed value: an open turn is given up after six hours
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one the cluster names; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-stream-", dir="/tmp")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one the cluster names."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Rows of a batch-partitioned folder, or an empty frame before the first batch."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    """Rows of a batch-partitioned folder, or an empty frame before the first batch; any other failure to read is one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def _write(df: DataFrame, path: str, batch: int) -> None:

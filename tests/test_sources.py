@@ -175,6 +175,8 @@ def test_transcript_evidence(lines):
 def test_export(spark, tmp_path):
     sessions = spark.createDataFrame([("p", "a", "/x"), ("p", "b", "/y")], "platform string, session_id string, cwd string")
     events = spark.createDataFrame([("p", "a", i, "t") for i in range(25)], "platform string, session_id string, seq bigint, t string")
-    assert tables.export_cases(sessions, events, str(tmp_path / "out"), per_part=10) == 1
+    assert tables.export_cases(sessions, events, str(tmp_path / "out"), per_part=10) == 2
+    cases = {r.session_id: r.n_events for r in spark.read.json(str(tmp_path / "out/cases")).collect()}
+    assert cases == {"a": 25, "b": 0} and spark.read.json(str(tmp_path / "out/parts")).count() == 3
     with pytest.raises(LookupError):
-        tables.export_cases(sessions, events.where("seq < 0"), str(tmp_path / "none"))
+        tables.export_cases(sessions.where("false"), events, str(tmp_path / "none"))
