@@ -136,6 +136,12 @@ def _kinds_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "native_type string, kind string, role string, classification string")
 
 
+def foreign_version(payload: Column) -> Column:
+    """Whether a record names another schema version; one that is there but null is unknown too."""
+    other = (get(payload, "schema_version") != str(SCHEMA_VERSION)) | (kind_of(child(payload, "schema_version")) == "VOID")
+    return F.coalesce(other, F.lit(False))
+
+
 def normalize(records: DataFrame) -> DataFrame:
     """Normal events of transcript and hook records, one row per event and tool request.
 
@@ -147,12 +153,11 @@ def normalize(records: DataFrame) -> DataFrame:
     data = F.when(hook, p).otherwise(child(p, "data"))
     base = records.where(F.col("source_kind").isin("transcript", "hook"))
     native = F.nullif(F.when(hook, F.col("event")).otherwise(text_at(p, "type")), F.lit(""))
-    version = get(p, "schema_version")
     base = base.withColumns(
         {
             "native_type": native,
             "data": data,
-            "foreign_version": F.coalesce(version != str(SCHEMA_VERSION), F.lit(False)) & ~hook,
+            "foreign_version": foreign_version(p) & ~hook,
         }
     )
     d = F.col("data")

@@ -159,3 +159,9 @@ def test_turn_assembly(spark):
 def test_normal_kinds(spark):
     events = transcript(spark, [("model.x", None, {}), ("weird", None, {}), ("tool.execution_complete", None, {"success": False}), ("some.error", None, {})])
     assert [(r.kind, r.classification) for r in events.orderBy("pos").collect()] == [("auxiliary_model_call", "title_generation"), ("unknown", "main"), ("tool_execution_failure", "main"), ("error", "main")]
+
+
+def test_null_schema_version_is_unknown(spark):
+    docs = [{"type": "session.start"}, {"type": "session.start", "schema_version": copilot.SCHEMA_VERSION}, {"type": "session.start", "schema_version": None}, {"type": "session.start", "schema_version": 99}]
+    df = spark.createDataFrame([(json.dumps(d),) for d in docs], "p string").withColumn("payload", F.try_parse_json("p"))
+    assert [r[0] for r in df.select(copilot.foreign_version(F.col("payload"))).collect()] == [False, False, True, True]
