@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanloom.session import prepare, shared_folder
 
 #: Text bytes that a task works on at a time; one longer text makes a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
