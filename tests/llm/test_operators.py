@@ -378,6 +378,27 @@ def test_fuzzy_passages(spark, docs, empty):
     assert chaining.passages(empty).count() == 0
 
 
+@pytest.mark.parametrize(("size", "gap"), [(100, 60), (100, 100), (50, 30), (60, 60)])
+def test_passages_round_an_unrelated_body(spark, size, gap):
+    rng = random.Random(size + gap)
+    one, two = sentence(rng, size), sentence(rng, size)
+    texts = [" ".join([sentence(rng, 20), one, sentence(rng, gap), two, sentence(rng, 20)]) for _ in range(2)]
+    got = chaining.passages(table(spark, [(i, x, None, None, None) for i, x in enumerate(texts)])).collect()
+    assert sorted((r["start"], r["end"], r["match_start"], r["n_edits"]) for r in got) == [(20, 20 + size, 20, 0), (20 + size + gap, 20 + 2 * size + gap, 20 + size + gap, 0)]
+
+
+def test_pieces_are_the_longest_that_are_equal_enough():
+    rng = random.Random(3)
+    for _ in range(300):
+        same = np.array([rng.random() < 0.75 for _ in range(rng.randrange(1, 60))])
+        fits = [j - i for i in range(len(same)) for j in range(i + 10, len(same) + 1) if same[i] and same[j - 1] and same[i:j].mean() >= 0.8 - 1e-9]
+        every = np.ones(len(same), bool)
+        got = chaining.pieces(every, every, same, 10, 0.8)
+        assert bool(got) == bool(fits)
+        assert all(j - i >= 10 and same[i] and same[j - 1] and same[i:j].mean() >= 0.8 - 1e-9 for i, j in got)
+        assert all(a[1] <= b[0] for a, b in zip(sorted(got), sorted(got)[1:]))
+
+
 # --- op1 ---------------------------------------------------------------------------------------
 def test_rollup_commits_once_and_compacts(spark, tmp_path):
     r = rollup.Rollup(spark, f"file://{tmp_path}/r")
