@@ -387,6 +387,22 @@ def test_passages_round_an_unrelated_body(spark, size, gap):
     assert sorted((r["start"], r["end"], r["match_start"], r["n_edits"]) for r in got) == [(20, 20 + size, 20, 0), (20 + size + gap, 20 + 2 * size + gap, 20 + size + gap, 0)]
 
 
+@pytest.mark.parametrize("share", [0.04, 0.1, 0.2])
+def test_recall_of_short_fuzzy_passages(spark, share):
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        passage = sentence(rng, 50).split()
+        other = list(passage)
+        for j in rng.sample(range(1, 49), int(50 * share)):
+            other[j] = "changed"
+        rows += [(d, " ".join([sentence(rng, 30), *p, sentence(rng, 30)]), None, None, None) for d, p in ((2 * i, passage), (2 * i + 1, other))]
+    got = chaining.passages(table(spark, rows)).collect()
+    found = {r["doc_id"] for r in got if r["match_doc_id"] == r["doc_id"] - 1 and r["start"] <= 30 and r["end"] >= 80}
+    print(f"{share}: {len(found)} of 300")
+    assert len(found) == 300
+
+
 def test_pieces_are_the_longest_that_are_equal_enough():
     rng = random.Random(3)
     for _ in range(300):
