@@ -403,6 +403,16 @@ def test_recall_of_short_fuzzy_passages(spark, share):
     assert len(found) == 300
 
 
+@pytest.mark.parametrize("size", [6, 10, 25])
+def test_passage_of_lines_that_all_occur_earlier_elsewhere(spark, size):
+    rng = random.Random(size)
+    lines = [sentence(rng, size) for _ in range(60 // size + 1)]
+    n = size * len(lines)
+    texts = [" ".join([sentence(rng, 20), x, sentence(rng, 20)]) for x in lines] + [" ".join([sentence(rng, 20), *lines, sentence(rng, 20)]) for _ in range(2)]
+    got = chaining.passages(table(spark, [(i, x, None, None, None) for i, x in enumerate(texts)])).collect()
+    assert [tuple(r)[:7] for r in got] == [(len(texts) - 1, len(texts) - 2, 20, 20 + n, 20, 20 + n, 0)]
+
+
 def test_pieces_are_the_longest_that_are_equal_enough():
     rng = random.Random(3)
     for _ in range(300):
