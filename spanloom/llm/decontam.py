@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import documents, packed, slices, unused, written
 from spanloom.llm.words import U, mix, words
 
-#: Fixed masks of word positions; a 1 counts.  Each leaves some positions of its span free.
-MASKS = ("110100110101", "101110010011")
+#: Fixed masks of word positions; a 1 counts.  However 4 words of 16, or 3 of 12 to 15, are changed, one mask fits
+#: somewhere on unchanged words: found by greedy search, proved by enumeration in the tests.
+MASKS = ("110111", "1101000011", "11100011", "110000001011")
 SPAN = max(map(len, MASKS))
 #: A passage is a benchmark's if this many successive words (all of a shorter item) ...
 LENGTH = 16

@@ -255,6 +255,29 @@ def test_leaks(spark, docs, empty):
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(every, bench.limit(0)).count() == 0
 
 
+def test_masks_cover_every_allowed_change():
+    from itertools import combinations
+
+    for n in range(decontam.SPAN, decontam.LENGTH + 1):
+        placed = [{i + j for j, bit in enumerate(m) if bit == "1"} for m in decontam.MASKS for i in range(n - len(m) + 1)]
+        assert all(any(not p & set(changed) for p in placed) for changed in combinations(range(n), int(n * decontam.DIFFER)))
+
+
+@pytest.mark.parametrize("n", [12, 16, 20, 24])
+def test_leaks_with_a_quarter_changed(spark, n):
+    rng = random.Random(n)
+    items = [(i, sentence(rng, n)) for i in range(300)]
+    rows = []
+    for i, text in items:
+        own = text.split()
+        for j in rng.sample(range(n), n // 4):
+            own[j] = "changed"
+        rows.append((i, " ".join([sentence(rng, 20), *own, sentence(rng, 20)]), None, None, None))
+    want = brute.leaks([(r[0], r[1]) for r in rows], items, decontam.LENGTH, decontam.DIFFER)
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) > 200
+
+
 def test_verification_ends_at_equal_words():
     a = np.array([9, 9, 1, 2, 3, 4, 5, 6, 9, 9])
     assert decontam.verified(a, np.array([1, 2, 3, 7, 5, 6]), 2, 4, 0.25) == (2, 8, 5)
