@@ -26,16 +26,22 @@ FILTER_BITS = 1 << 26
 REACH = LENGTH + SPAN
 
 
-def seeds(hashes: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def mask_of(n: int) -> str:
+    """The mask of an item of n words, fewer than ``SPAN``: successive words that are left unchanged however a quarter is changed."""
+    changed = int(n * DIFFER)
+    return "1" * -(-(n - changed) // (changed + 1))
+
+
+def seeds(hashes: np.ndarray, doc: np.ndarray, masks: tuple[str, ...] = MASKS) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each mask: the seed hash at every word where the mask fits into the text, and these words."""
     out = []
-    for m, mask in enumerate(MASKS):
+    for mask in masks:
         n = len(hashes) - len(mask) + 1
         if n <= 0:
             out.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
             continue
         first = np.flatnonzero(doc[:n] == doc[len(mask) - 1 :])
-        value = np.full(len(first), m + 1, np.uint64)
+        value = np.full(len(first), int(mask, 2), np.uint64)
         for j, bit in enumerate(mask):
             if bit == "1":
                 value = mix(value + hashes[first + j])
@@ -56,7 +62,7 @@ def benchmark_words(benchmark: DataFrame) -> DataFrame:
 
 
 def benchmark_seeds(items: DataFrame) -> DataFrame:
-    """seed, item_id and the word of the item where it lies; an item shorter than a mask has no seed of it."""
+    """seed, key and the word of the item where it lies; an item shorter than ``SPAN`` has seeds of its own mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,10 +71,15 @@ def benchmark_seeds(items: DataFrame) -> DataFrame:
             counts = np.diff(column.offsets.to_numpy())
             doc = np.repeat(np.arange(len(ids)), counts)
             at = np.concatenate([[0], np.cumsum(counts)])
-            for value, first in seeds(column.flatten().to_numpy().view(np.uint64), doc):
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids[doc[first]], pa.int64()), pa.array(first - at[doc[first]])], ["seed", "item_id", "item_word"])
+            hashes = column.flatten().to_numpy().view(np.uint64)
+            of = np.array([mask_of(n) if n < SPAN else "" for n in counts.tolist()])
+            for mask in {*of.tolist()}:
+                for value, first in seeds(hashes, doc, (mask,) if mask else MASKS):
+                    mine = of[doc[first]] == mask
+                    value, first = value[mine], first[mine]
+                    yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids[doc[first]], pa.int64()), pa.array(first - at[doc[first]])], ["seed", "key", "item_word"])
 
-    return items.mapInArrow(run, "seed long, item_id long, item_word long")
+    return items.mapInArrow(run, "seed long, key long, item_word long")
 
 
 def seed_filter(found: DataFrame) -> np.ndarray:
@@ -80,7 +91,7 @@ def seed_filter(found: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def clusters(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def clusters(docs: DataFrame, bits: np.ndarray, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """Stretches of texts around words whose seeds pass the filter.
 
     One row per stretch: doc_id, its first word, its word hashes, and the seeds in it.
@@ -93,7 +104,7 @@ def clusters(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         for batch, texts in slices(batches):
             w = words(texts)
             ids = batch.column(0)
-            value, first = (np.concatenate(x) for x in zip(*seeds(w.hash, w.doc)))
+            value, first = (np.concatenate(x) for x in zip(*seeds(w.hash, w.doc, masks)))
             place = (value >> U(38)).astype(np.int64)
             hit = (known[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
             value, first = value[hit], first[hit]
@@ -146,19 +157,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, di
 
     Words are lower-cased.  A passage is ``length`` words (the whole of a shorter item) of which
     ``differ`` of the places at most are other words.  Seeds ignore the free positions of their
-    masks, so that a substituted word there hides nothing; items shorter than a mask cannot hit.
+    masks, so that a substituted word there hides nothing.  Short items, of one word too, are found by
+    masks of their own, which texts are searched with only if the benchmark has such items.  All
+    different texts of an item_id are searched.
 
     Training seeds are held against a filter of fixed size that knows the benchmark's seeds, so
     only stretches around likely hits are joined; a bigger benchmark only fills the
     filter.  Null or empty texts, rows without doc_id and items without id have no passages;
     repeated rows give one.  Other columns of either table are not read.
     """
-    items = written(benchmark_words(benchmark).groupBy("item_id").agg(F.min("item").alias("item")), "items")
-    known = written(benchmark_seeds(items), "seeds")
-    near = clusters(docs.where("doc_id IS NOT NULL"), seed_filter(known))
+    items = written(benchmark_words(benchmark).distinct().withColumn("key", F.xxhash64("item_id", "item")), "items")
+    short = items.select(F.size("item").alias("n")).where(F.col("n") < SPAN).distinct().collect()
+    masks = (*MASKS, *sorted({mask_of(r["n"]) for r in short}))
+    known = written(benchmark_seeds(items.select("key", "item")), "seeds")
+    near = clusters(docs.where("doc_id IS NOT NULL"), seed_filter(known), masks)
     near = written(near.dropDuplicates(["doc_id", "start"]), "stretches")
     hits = near.select("doc_id", "start", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("doc_id", "start", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place"))
-    lines = hits.join(known, "seed").select("doc_id", "start", "item_id", (F.col("place") - F.col("item_word")).alias("shift")).distinct()
+    lines = hits.join(known, "seed").select("doc_id", "start", "key", (F.col("place") - F.col("item_word")).alias("shift")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +184,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, di
                     rows.append((doc, item_id, start + found[0], start + found[1], found[0] - shift, found[1] - found[0], found[2]))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(7)], ["doc_id", "item_id", "start", "end", "item_start", "n_words", "n_equal"])
 
-    full = lines.join(items, "item_id").join(near.select("doc_id", "start", "stretch"), ["doc_id", "start"]).select("doc_id", "start", "item_id", "shift", "stretch", "item")
+    full = lines.join(items, "key").join(near.select("doc_id", "start", "stretch"), ["doc_id", "start"]).select("doc_id", "start", "item_id", "shift", "stretch", "item")
     return full.mapInArrow(run, "doc_id long, item_id long, start long, end long, item_start long, n_words long, n_equal long").distinct()
 
 

@@ -278,6 +278,20 @@ def test_leaks_with_a_quarter_changed(spark, n):
     assert got == want and len(want) > 200
 
 
+def test_leaks_of_short_items_and_of_all_texts_of_an_item(spark):
+    rng = random.Random(2)
+    items = [(n, sentence(rng, n)) for n in range(1, 16)] + [(50, sentence(rng, 9)), (50, sentence(rng, 30)), (50, sentence(rng, 20))]
+    rows = []
+    for i, text in items * 30:
+        own = text.split()
+        for j in rng.sample(range(len(own)), rng.randrange(len(own) // 4 + 1)):
+            own[j] = "changed"
+        rows.append((len(rows), " ".join([sentence(rng, 20), *own, sentence(rng, 20)]), None, None, None))
+    want = {(d, i) for one in items for d, i in brute.leaks([(r[0], r[1]) for r in rows], [one], decontam.LENGTH, decontam.DIFFER)}
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and {i for _, i in want} == {i for i, _ in items}
+
+
 def test_verification_ends_at_equal_words():
     a = np.array([9, 9, 1, 2, 3, 4, 5, 6, 9, 9])
     assert decontam.verified(a, np.array([1, 2, 3, 7, 5, 6]), 2, 4, 0.25) == (2, 8, 5)
