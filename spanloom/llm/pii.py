@@ -87,24 +87,27 @@ ROWS = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType(), False),
 
 
 def terms_near(matches: DataFrame) -> DataFrame:
-    """entity, term, n_both, n_entity, n_least: in how many different contexts an entity meets a term,
+    """entity, term, n_both, n_entity, n_least: in how many different texts an entity meets a term,
     and occurs, and in how many texts the term is seen near any entity.
 
-    An entity is a kind and a value.  Equal contexts, as in copies of a document, count once.
+    An entity is a kind and a value.  An entity, and its meeting with a term, need ``SUPPORT`` different
+    contexts: what is around them in copies of a document counts once.
     """
     whole = F.concat(F.when(F.length("before") < NEAR, F.col("before")).otherwise(F.regexp_replace("before", r"^\p{L}*", "")), F.lit(" "), F.when(F.length("after") < NEAR, F.col("after")).otherwise(F.regexp_replace("after", r"\p{L}*$", "")))
     value = F.when(F.col("kind") == KINDS.index("email"), F.lower("found")).when(F.col("kind") == KINDS.index("ip"), F.col("found")).otherwise(F.regexp_replace("found", "[^0-9]", ""))
     seen = matches.select("key", F.xxhash64("kind", value).alias("entity"), F.lower(whole).alias("context"))
     words = F.explode(F.array_distinct(F.split("context", NOT_LETTERS))).alias("term")
     least = seen.select("key", words).where("length(term) >= 3").distinct().groupBy("term").agg(F.count("*").alias("n_least"))
-    once = seen.select("entity", "context").distinct()
-    often = once.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
-    both = once.select("entity", words).where("length(term) >= 3").groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
+    spot = F.xxhash64("context").alias("spot")
+    counts = [F.count_distinct("key").alias("n"), F.count_distinct("spot").alias("n_spots")]
+    enough = F.col("n_spots") >= SUPPORT
+    often = seen.select("entity", "key", spot).groupBy("entity").agg(*counts).where(enough).select("entity", F.col("n").alias("n_entity"))
+    both = seen.select("entity", "key", spot, words).where("length(term) >= 3").groupBy("entity", "term").agg(*counts).where(enough).select("entity", "term", F.col("n").alias("n_both"))
     return both.join(often, "entity").join(least, "term")
 
 
 def given(total: Column, n_term: Column) -> Column:
-    """Share of an entity's information that a term gives, if ``n_term`` documents have it."""
+    """Share of an entity's information that a term gives, if ``n_term`` texts have it."""
     return F.log2(total * F.col("n_both") / (F.greatest(n_term, "n_both") * F.col("n_entity"))) / F.greatest(F.log2(total / F.col("n_entity")), F.lit(1e-9))
 
 
@@ -123,15 +126,15 @@ def holding(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def revealing_terms(docs: DataFrame, matches: DataFrame) -> DataFrame:
     """term, kind: terms that reveal an entity, by the share of its information they give.
 
-    With N documents, information(e) = log2(N / n(e)), and a term gives log2(N * n(t, e) / (n(t) * n(e))) of
-    it: all, if every document with the term has the entity.
+    With N different texts, and all n counting different texts, information(e) = log2(N / n(e)), and a term gives log2(N * n(t, e) / (n(t) * n(e))) of
+    it: all, if every text with the term has the entity.
     """
-    total = F.lit(float(docs.count()))
+    total = F.lit(float(docs.select(text_key(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key")).distinct().count()))
     # A term near entities in too many texts already can't reach the threshold, and need not be counted.
     near = written(terms_near(matches).where(given(total, F.col("n_least")) >= GENERALISE), "terms")
     if near.isEmpty():
         return near.select("term", F.lit(0).alias("kind"))
-    spread = holding(docs, near).groupBy("term").agg(F.count("*").alias("n_term"))
+    spread = holding(docs, near).select(F.xxhash64("key").alias("key"), "term").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     told = near.join(spread, "term").select("term", given(total, F.col("n_term")).alias("given")).groupBy("term").agg(F.max("given").alias("given"))
     kind = F.when(F.col("given") >= REMOVE, KINDS.index("revealing")).otherwise(KINDS.index("term"))
     return written(told.where(F.col("given") >= GENERALISE).select("term", kind.alias("kind")), "revealing")

@@ -323,6 +323,16 @@ def test_revealing_terms_are_found_and_replaced(spark):
     assert clean[90] == "Again [TERM], again." and clean[0] == "worda and [TERM] of [EMAIL]  hereq" and clean[91] is None and clean[12] == rows[8][1]
 
 
+def test_copies_change_no_revealing_term(spark):
+    rows = [(i, f"word{'abcdef'[i]} and Quuxly of joe@corp.example here{'qwerty'[i]}", None, None, None) for i in range(6)]
+    rows += [(10 + i, f"and of plain words{i} here", None, None, None) for i in range(200)]
+    copies = [(1000 + i, *rows[0][1:]) for i in range(400)]
+    plain = [(2000 + i, *rows[20][1:]) for i in range(400)]
+    spans = [{r["doc_id"]: r["spans"] for r in pii.personal_data(table(spark, x)).collect()} for x in (rows, rows + copies, rows + plain)]
+    assert "revealing:10:16" in spans[0][0]
+    assert all({d: x[d] for d in spans[0]} == spans[0] for x in spans[1:]) and {spans[1][1000 + i] for i in range(400)} == {spans[0][0]}
+
+
 def test_overlapping_spans_are_replaced_once(docs, spark):
     text = "é +30569309025904 x a@b.co 1.2.3.4."  # the digits of the phone number pass as a card's too
     out = pii.sanitised(table(spark, [(1, text, None, None, None), (2, "", None, None, None)])).orderBy("doc_id").collect()
