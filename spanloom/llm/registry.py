@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "chaining", "decontam", "langid", "minhash", "pii", "quality", "rollup", "sharding", "suffixes")
+MODULES = ("bpe", "chaining", "decontam", "importance", "langid", "lines", "merkle", "minhash", "pii", "quality", "rollup", "sharding", "suffixes")
 
 
 def _merged(name: str) -> dict:

@@ -1,6 +1,7 @@
 """Plain single-machine versions of the operators."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -122,3 +123,85 @@ def smallest_capacity(sizes, shards):
 
 def crc(text):
     return zlib.crc32((text or "").encode())
+
+
+def digest(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def merkle(rows, arity=3):
+    """(doc_id, leaf, subroot, root, proof, folded root, verified) of rows (doc_id, source, lang, n_chars, text)."""
+
+    def leaf(row):
+        return digest(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+    def climb(nodes):
+        levels = []
+        while len(nodes) > 1:
+            levels.append(nodes)
+            nodes = [digest(*nodes[i : i + arity]) for i in range(0, len(nodes), arity)]
+        return levels, nodes[0]
+
+    def path(levels, i):
+        for nodes in levels:
+            low = i - i % arity
+            yield nodes[low:i], nodes[i + 1 : low + arity]
+            i //= arity
+
+    by = defaultdict(list)
+    for row in rows:
+        by[row[1]].append(row)
+    sources = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    for s in sources:
+        by[s].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+    trees = {s: climb([leaf(r) for r in by[s]]) for s in sources}
+    tops, root = climb([trees[s][1] for s in sources]) if sources else ([], None)
+    out = []
+    for k, s in enumerate(sources):
+        levels, subroot = trees[s]
+        for i, row in enumerate(by[s]):
+            way = [*path(levels, i), *path(tops, k)]
+            hit = row[0] is not None and zlib.crc32(str(row[0]).encode()) % 2 == 0 and row[4] is not None
+            h = leaf((*row[:4], row[4].replace("\n", "")) if hit else row)
+            for left, right in way:
+                h = digest(*left, h, *right)
+            out.append((row[0], leaf(row), subroot, root, digest(*(x for left, right in way for x in left + right)), h, h == root))
+    return out
+
+
+FEATURE_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def feature_crcs(text, most=3):
+    w = FEATURE_WORD.findall((text or "").translate(LOWER))
+    return len(w), [zlib.crc32(" ".join(w[i : i + k]).encode()) for i in range(len(w)) for k in range(1, most + 1) if i + k <= len(w)]
+
+
+def importance(rows, target, buckets=10_000):
+    """(doc_id, n_features, weight, score, rank) of rows (doc_id, text)."""
+    found = [(d, *feature_crcs(t)) for d, t in rows]
+    s = Counter(c % buckets for _, _, f in found for c in f)
+    t = Counter(c % buckets for x in target for c in feature_crcs(x)[1])
+    n_s, n_t = sum(s.values()) + buckets, sum(t.values()) + buckets
+    out = []
+    for d, n, f in found:
+        weight = sum(math.floor(1000 * math.log((t[c % buckets] + 1) * n_s / ((s[c % buckets] + 1) * n_t))) for c in f)
+        h = int(hashlib.sha256(f"42:{d}".encode()).hexdigest()[:8], 16)
+        score = None if d is None else weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        out.append([d, len(f), weight, score, None, n])
+    fit = sorted((r for r in out if r[5] >= 20 and r[3] is not None), key=lambda r: (-r[3], r[0]))
+    for i, r in enumerate(fit[: 5 * len(fit) // 100]):
+        r[4] = i + 1
+    return [tuple(r[:5]) for r in out]
+
+
+def without_lines(texts, least=10, chars=1):
+    """(kept text, n_lines, n_dropped) of each text."""
+
+    def key(line):
+        return line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+
+    parts = [(t or "").split("\n") for t in texts]
+    seen = Counter(k for p in parts for k in {key(x) for x in p})
+    kept = [[x for x in p if len(key(x)) < chars or seen[key(x)] < least] for p in parts]
+    return [("\n".join(k), len(p), len(p) - len(k)) for k, p in zip(kept, parts)]
