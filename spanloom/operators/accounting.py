@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.payload import child, get, metric_number
+from spanloom.functions.times import parse_ts
 from spanloom.operators.usage import newest
 
 SESSION = ["platform", "session_id"]
@@ -29,7 +30,7 @@ def row_metrics(snapshot: DataFrame) -> DataFrame:
     """Usage revisions with typed metrics, read from the row in one pass.
 
     A number field takes JSON numbers only, so texts and booleans come out NULL; a metric
-    is whole and not negative.
+    is whole and not negative.  ``row_ts`` is a timestamp, NULL where the text is unreadable.
     """
     schema = ", ".join([f"{m} double" for m in (*METRICS, "turn_index")] + [f"{t} string" for t in TEXTS])
     parsed = snapshot.withColumn("__row", F.from_json("row_json", schema))
@@ -40,7 +41,7 @@ def row_metrics(snapshot: DataFrame) -> DataFrame:
         *[c for c in snapshot.columns if c != "row_json"],
         *[metric(m).alias(m) for m in (*METRICS, "turn_index")],
         *[text(t).alias(t) for t in TEXTS[:5]],
-        text("created_at").alias("row_ts"),
+        parse_ts(text("created_at")).alias("row_ts"),
         F.coalesce(text("provider"), text("provider_name")).alias("provider"),
     )
 

@@ -95,7 +95,8 @@ def with_tools(calls: DataFrame, call_tools: DataFrame) -> DataFrame:
 def direct_matches(usage_ids: DataFrame, call_ids: DataFrame) -> DataFrame:
     """Usage rows sharing a native id with calls: the call when there is one, else a conflict.
 
-    Calls are counted per id before the join, so an id shared by many rows costs one row.
+    Calls are counted per id before the join, so an id shared by many rows costs one row; of
+    conflicting calls the first and the last are named.
     """
     per_id = call_ids.select(*SESSION, "native_id", "call_id").groupBy(*SESSION, "native_id").agg(
         F.min("call_id").alias("lo"), F.max("call_id").alias("hi")
@@ -105,10 +106,25 @@ def direct_matches(usage_ids: DataFrame, call_ids: DataFrame) -> DataFrame:
     )
     one = F.col("lo") == F.col("hi")
     return met.select(
-        *SESSION, "logical_call_id", F.when(one, F.col("lo")).alias("direct_call"), F.when(one, "matched").otherwise("conflicting").alias("direct_status")
+        *SESSION, "logical_call_id", F.when(one, F.col("lo")).alias("direct_call"), F.when(one, "matched").otherwise("conflicting").alias("direct_status"),
+        F.array("lo", "hi").alias("direct_calls"),
     )
 
 
+def _numbered_usage(usage: DataFrame, width: int) -> DataFrame:
+    """Usage rows of one identity in the order of their keys as ``k``.
+
+    A whole-number column ``pk`` is the order itself.  Without one, ``primary_key`` is text: whole numbers come first, by
+    value, then all other texts.  Buckets rise with that order: the sign-free number's length and leading digits, or a text's first characters.
+    """
+    if "pk" in usage.columns:
+        return number(usage, KEY, "pk", "k", width=width)
+    digits = F.col("primary_key").rlike("^(0|[1-9][0-9]{0,17})$")
+    spread = F.when(digits, F.lpad("primary_key", 18, "0"))
+    bucket = F.coalesce(F.concat(F.lit("0"), F.substring(spread, 1, 14)), F.concat(F.lit("1"), F.substring("primary_key", 1, 8)))
+    return number_by(usage, KEY, bucket, [spread.asc_nulls_last(), F.col("primary_key"), F.col("logical_call_id")], "k")
+
+
 def ordered_matches(calls: DataFrame, usage: DataFrame, *, width: int = CHUNK_ROWS) -> DataFrame:
     """i-th usage row with the i-th call of one (agent, parent tool, model), up to the first disagreement."""
     begin = calls.where("interaction_id is not null").groupBy(*SESSION, "interaction_id").agg(
@@ -121,7 +137,7 @@ def ordered_matches(calls: DataFrame, usage: DataFrame, *, width: int = CHUNK_RO
             "cycle_key": F.coalesce(F.lpad(F.col("native_turn_id").try_cast("bigint").cast("string"), 20, "0"), own),
         }
     )
-    left = number(_plain(usage, IDENTITY), KEY, "pk", "k", width=width)
+    left = _numbered_usage(_plain(usage, IDENTITY), width)
     right = number_by(
         _plain(placed, IDENTITY), KEY, F.substring("begun", 1, 13), [F.col("begun"), F.col("cycle_key"), F.col("call_id")], "k"
     ).select(*KEY, "k", "call_id", "has_tools", "has_finish")
@@ -132,8 +148,8 @@ def ordered_matches(calls: DataFrame, usage: DataFrame, *, width: int = CHUNK_RO
     return pairs.where("broken = 0").select(*SESSION, "logical_call_id", F.col("call_id").alias("ordered_call"))
 
 
-def inferred_candidates(rooted: DataFrame, usage: DataFrame, order: DataFrame) -> DataFrame:
-    """Number of calls in the usage row's interaction that agree with it, and the call when there is one."""
+def _agreeing(rooted: DataFrame, usage: DataFrame, order: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls by interaction and identity, and usage rows with the interaction their turn index names."""
     mains = rooted.select(*SESSION, F.col("call_id").alias("root_call"), F.col("interaction_id").alias("root_interaction"))
     calls = cycle_order(rooted).join(mains, [*SESSION, "root_call"], "left")
     calls = _plain(calls, IDENTITY).withColumns(
@@ -143,35 +159,80 @@ def inferred_candidates(rooted: DataFrame, usage: DataFrame, order: DataFrame) -
             "is_child": F.col("agent_id").isNotNull(),
         }
     )
-    feature = ["has_tools", "has_finish", "first", "is_child"]
-    classes = calls.groupBy(*KEY, "interaction", *feature).agg(F.count(F.lit(1)).alias("n"), F.min("call_id").alias("call_id"))
-    placed = _plain(usage, IDENTITY).join(order.select(*SESSION, "turn_index", "interaction"), [*SESSION, "turn_index"])
-    met = placed.join(classes, [*KEY, "interaction"]).where(
-        finish_matches(F.col("has_tools"), F.col("has_finish")) & initiator_matches(F.col("first"), F.col("is_child"))
-    )
+    return calls, _plain(usage, IDENTITY).join(order.select(*SESSION, "turn_index", "interaction"), [*SESSION, "turn_index"])
+
+
+FEATURES = ["has_tools", "has_finish", "first", "is_child"]
+
+
+def _agree() -> Column:
+    return finish_matches(F.col("has_tools"), F.col("has_finish")) & initiator_matches(F.col("first"), F.col("is_child"))
+
+
+def inferred_candidates(rooted: DataFrame, usage: DataFrame, order: DataFrame) -> DataFrame:
+    """Number of calls in the usage row's interaction that agree with it, and the call when there is one."""
+    calls, placed = _agreeing(rooted, usage, order)
+    classes = calls.groupBy(*KEY, "interaction", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.min("call_id").alias("call_id"))
+    met = placed.join(classes, [*KEY, "interaction"]).where(_agree())
     return met.groupBy(*SESSION, "logical_call_id").agg(
         F.sum("n").alias("possible"), F.min("call_id").alias("possible_call")
     )
 
 
+#: What a usage row's candidates depend on, beside its session.
+SET = ["interaction", *[f"k_{c}" for c in IDENTITY], "finish_reason", "initiator"]
+
+
+def _set_id() -> Column:
+    return F.sha2(F.to_json(F.array(*[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in SET])), 256)
+
+
+def candidate_sets(rooted: DataFrame, usage: DataFrame, order: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(usage row, candidate_set) and (candidate_set, call) for rows that several calls agree with.
+
+    Rows of one interaction, identity, finish reason and initiator have the same candidates, so
+    these are stored once per set: a call is in as many sets as there are finish reasons and
+    initiators, however many usage rows there are.
+    """
+    calls, placed = _agreeing(rooted, usage, order)
+    placed = placed.withColumn("candidate_set", _set_id())
+    sets = placed.select(*SESSION, "candidate_set", *SET).distinct()
+    members = sets.join(calls.select(*KEY, "interaction", *FEATURES, "call_id"), [*KEY, "interaction"]).where(_agree())
+    return placed.select(*SESSION, "logical_call_id", "candidate_set"), members.select(*SESSION, "candidate_set", "call_id")
+
+
+def _said(name: str, value: str | None = None) -> Column:
+    """``name:value``, a missing value being the word None (a fixed format of the evidence)."""
+    return F.concat(F.lit(f"{name}:"), F.coalesce(F.col(value or name).cast("string"), F.lit("None")))
+
+
 def attribute_usage(
     calls: DataFrame, call_tools: DataFrame, usage: DataFrame, *, usage_ids: DataFrame | None = None, call_ids: DataFrame | None = None
 ) -> DataFrame:
-    """Status, call and turn of every usage row.
+    """Status, call, turn and evidence of every usage row.
 
     A shared native id decides first, then the ordered stream, then a unique agreeing call
-    of the same interaction.  A call claimed twice makes all its claimants conflicting.
+    of the same interaction.  A call claimed twice makes all its claimants conflicting.  Each stage
+    brings its own evidence; ``attributions`` also says which calls an ambiguous row had.
     """
+    return attributions(calls, call_tools, usage, usage_ids=usage_ids, call_ids=call_ids)[0]
+
+
+def attributions(
+    calls: DataFrame, call_tools: DataFrame, usage: DataFrame, *, usage_ids: DataFrame | None = None, call_ids: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``attribute_usage`` with ``candidate_set`` for ambiguous rows, and the calls of those sets."""
     key = [*SESSION, "logical_call_id"]
     rooted = cut_lineage(root_calls(with_tools(calls, call_tools), call_tools))
     order = cut_lineage(interaction_order(rooted))
     usage = cut_lineage(usage)
-    out = usage.join(ordered_matches(rooted, usage), key, "left").join(inferred_candidates(rooted, usage, order), key, "left")
+    found = inferred_candidates(rooted, usage, order)
+    out = usage.join(ordered_matches(rooted, usage), key, "left").join(found, key, "left")
     out = out.join(order.select(*SESSION, "turn_index", "interaction", F.col("stored_turn_id").alias("index_turn")), [*SESSION, "turn_index"], "left")
     if usage_ids is not None and call_ids is not None:
         out = out.join(direct_matches(usage_ids, call_ids), key, "left")
     else:
-        out = out.withColumns({"direct_call": F.lit(None).cast("string"), "direct_status": F.lit(None).cast("string")})
+        out = out.withColumns({"direct_call": F.lit(None).cast("string"), "direct_status": F.lit(None).cast("string"), "direct_calls": F.lit(None).cast("array<string>")})
     guessed = F.when(F.col("direct_status").isNull() & F.col("ordered_call").isNull() & F.col("interaction").isNotNull() & (F.col("possible") == 1), F.col("possible_call"))
     chosen = F.when(F.col("direct_status").isNotNull(), F.col("direct_call")).otherwise(F.coalesce("ordered_call", guessed))
     via_turn = F.col("direct_status").isNull() & F.col("ordered_call").isNull()
@@ -181,28 +242,44 @@ def attribute_usage(
     status = F.coalesce(status, F.when(F.col("interaction").isNotNull() & (F.col("possible") > 1), "ambiguous"), F.lit("pending"))
     out = out.withColumns({"call_id": chosen, "status": status, "via_turn": via_turn})
     claims = out.where("status = 'matched'").groupBy(*SESSION, "call_id").agg(F.count(F.lit(1)).alias("claims"))
-    roots = rooted.select(*SESSION, "call_id", F.col("agent_id").alias("call_agent"), F.coalesce("root_call", "call_id").alias("__r"))
-    turns = rooted.select(*SESSION, F.col("call_id").alias("__r"), F.col("stored_turn_id").alias("root_turn"))
+    roots = cycle_order(rooted).select(*SESSION, "call_id", F.col("agent_id").alias("call_agent"), "cycle", F.coalesce("root_call", "call_id").alias("__r"))
+    turns = rooted.select(*SESSION, F.col("call_id").alias("__r"), F.col("stored_turn_id").alias("root_turn"), F.col("interaction_id").alias("root_interaction"))
     out = out.join(claims, [*SESSION, "call_id"], "left").join(roots, [*SESSION, "call_id"], "left").join(turns, [*SESSION, "__r"], "left")
+    sets, members = candidate_sets(rooted, usage, order)
+    out = out.join(sets, key, "left")
     twice = F.coalesce(F.col("claims") > 1, F.lit(False))
     matched = F.col("status") == "matched"
-    return out.select(
+    direct = F.col("direct_status").isNotNull()
+    ambiguous = F.col("status") == "ambiguous"
+    logical = _said("logical_call_id")
+    by_index = F.when(F.col("via_turn"), F.col("interaction")).otherwise(F.col("root_interaction"))
+    evidence = (
+        F.when(direct & ~matched, F.concat(F.array(logical), F.transform("direct_calls", lambda c: F.concat(F.lit("call_id:"), c))))
+        .when(twice, F.array(logical, _said("call_id")))
+        .when(direct, F.array(F.lit("join_kind:direct"), _said("call_id")))
+        .when(
+            matched,
+            F.array(
+                F.lit("join_kind:inferred"), F.concat(F.lit("interaction_id:"), F.coalesce(by_index, F.lit("None"))), _said("turn_index"), _said("agent_id"),
+                _said("parent_tool_call_id"), _said("model"), _said("finish", "finish_reason"), _said("initiator"), _said("order", "cycle"), _said("call_id"),
+            ),
+        )
+        .when(ambiguous, F.array(_said("interaction_id", "interaction"), _said("model"), _said("turn_index")))
+        .when(F.col("interaction").isNotNull(), F.array(logical, _said("interaction_id", "interaction"), _said("turn_index")))
+        .otherwise(F.array(logical, _said("turn_index")))
+    )
+    done = out.select(
         *key,
         "usage_source_id",
         F.when(matched & ~F.col("via_turn"), F.col("root_turn")).otherwise(F.col("index_turn")).alias("stored_turn_id"),
         F.when(matched & ~F.col("via_turn"), F.col("call_agent")).otherwise(F.col("agent_id")).alias("agent_id"),
         F.when(matched & ~twice, F.col("call_id")).alias("call_id"),
         F.when(twice, "conflicting").otherwise(F.col("status")).alias("status"),
-        F.when(matched & ~twice, F.when(F.col("direct_status").isNotNull(), "direct").otherwise("inferred")).alias("join_kind"),
-        F.array_compact(
-            F.array(
-                F.concat(F.lit("logical_call_id:"), "logical_call_id"),
-                F.concat(F.lit("interaction_id:"), "interaction"),
-                F.concat(F.lit("turn_index:"), F.col("turn_index").cast("string")),
-                F.when(matched | twice, F.concat(F.lit("call_id:"), "call_id")),
-            )
-        ).alias("evidence"),
+        F.when(matched & ~twice, F.when(direct, "direct").otherwise("inferred")).alias("join_kind"),
+        evidence.alias("evidence"),
+        F.when(ambiguous, F.col("candidate_set")).alias("candidate_set"),
     )
+    return done, members.join(done.where("candidate_set is not null").select(*SESSION, "candidate_set").distinct(), [*SESSION, "candidate_set"], "left_semi")
 
 
 def place_accounting(attributions: DataFrame, calls: DataFrame, turns: DataFrame) -> DataFrame:

@@ -9,12 +9,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.ordered import latest, scan
-from spanloom.functions.times import bound
+from spanloom.functions.times import bound, parse_ts
 
 CALL_KEY = ["platform", "session_id", "call_id"]
 SESSION = ["platform", "session_id"]
 
 
+#: The one schema of usage rows, whatever platform they come from.
+USAGE = {
+    "platform": "string", "session_id": "string", "pos": "bigint", "call_id": "string", "ts": "timestamp", "provider_name": "string", "response_model": "string", "operation_name": "string",
+    "input_tokens": "bigint", "output_tokens": "bigint", "cache_read_input_tokens": "bigint", "cache_creation_input_tokens": "bigint", "reasoning_output_tokens": "bigint",
+}
+DEFAULTS = {"operation_name": "chat"}
+
+
+def typed_usage(*sources: DataFrame) -> DataFrame:
+    """Usage rows of several sources in one schema.
+
+    Text times are read here, once: with ``Z`` or an offset, as UTC without, NULL if
+    unreadable.  A source without ``pos`` is ordered by ``seq``; columns it lacks are NULL, or ``chat`` for the
+    operation.  Other columns of a source are left out.
+    """
+    out = None
+    for df in sources:
+        have = {f.name: f.dataType.simpleString() for f in df.schema}
+
+        def column(name: str, kind: str) -> Column:
+            if name == "pos" and name not in have:
+                name = "seq"
+            if name not in have:
+                return F.lit(DEFAULTS.get(name)).cast(kind)
+            if name == "ts" and have[name] == "string":
+                return parse_ts(F.col(name))
+            value = F.col(name).cast(kind)
+            return F.coalesce(value, F.lit(DEFAULTS[name])) if name in DEFAULTS else value
+
+        part = df.select(*[column(n, k).alias(n) for n, k in USAGE.items()])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def dedup_calls(usage: DataFrame) -> DataFrame:
     """One row per call: the last occurrence, with ``first_pos`` of the first one.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.ordered import CHUNK_ROWS, scan, walk
 from spanloom.functions.payload import get
+from spanloom.operators.lineage import resolve_roots
 from spanloom.session import cut_lineage
 
 SESSION = ["platform", "session_id"]
@@ -102,7 +103,11 @@ def finishes(calls: DataFrame, ends: DataFrame, *, width: int = CHUNK_ROWS) -> D
 
 
 def build(events: DataFrame, source_key: Column | None = None) -> dict[str, DataFrame]:
-    """Tables ``turns``, ``calls``, ``tools``, ``permissions``, ``pending`` of whole sessions."""
+    """Tables of whole sessions: ``turns``, ``calls``, ``call_tools``, ``tools``, ``permissions``, ``pending`` and their sources.
+
+    A turn hangs under the completed turn whose tool call started its agent.  One that does not
+    lead to a completed main turn is lost: its calls keep no turn.
+    """
     rows = cut_lineage(narrow(events, F.lit("key") if source_key is None else source_key))
     opened = rows.where(F.col("kind").isin(*OPENERS) & F.col("interaction_id").isNotNull())
     messages = opened.where("kind = 'assistant_message'")
@@ -132,10 +137,12 @@ def build(events: DataFrame, source_key: Column | None = None) -> dict[str, Data
     name = F.concat_ws(":", F.lit("copilot"), F.lit("turn"), "source_key", "session_id", "interaction_id", F.nullif(F.col("agent"), F.lit("")))
     parent = F.concat_ws(":", F.lit("copilot"), F.lit("turn"), "source_key", "session_id", "parent_interaction", F.nullif(F.col("parent_agent"), F.lit("")))
     turns = items.withColumns({"turn_id": name, "parent_turn_id": F.when(F.col("parent_interaction").isNotNull(), parent)})
-    finished = turns.where("complete").select(*SESSION, F.col("turn_id").alias("parent_turn_id"), F.lit(True).alias("parent_complete"))
-    turns = turns.join(finished, [*SESSION, "parent_turn_id"], "left")
-    lost = (F.col("agent") != "") & F.col("complete") & F.col("parent_complete").isNull()
-    turns = turns.withColumn("lost", lost).drop("parent_complete")
+    done = turns.where("complete").select(*SESSION, "turn_id", "parent_turn_id", "agent")
+    rooted = resolve_roots(done, SESSION, "turn_id", "parent_turn_id", F.col("agent") == "", "main_turn_id")
+    turns = turns.join(rooted.select(*SESSION, "turn_id", "main_turn_id"), [*SESSION, "turn_id"], "left")
+    turns = cut_lineage(turns.withColumn("lost", F.col("complete") & F.col("main_turn_id").isNull()))
+    sources = opened.select(*ITEM, "source_id").unionByName(owned.select(*ITEM, "source_id")).distinct()
+    sources = sources.join(turns.select(*ITEM, "turn_id"), ITEM).select(*SESSION, "turn_id", "source_id")
     named_calls = calls.join(turns.select(*ITEM, "turn_id", "lost"), ITEM, "left").select(
         *SESSION, "pos", F.concat(F.lit("copilot:call:"), "source_id").alias("call_id"), F.when(~F.col("lost"), F.col("turn_id")).alias("stored_turn_id"),
         "interaction_id", F.nullif(F.col("agent"), F.lit("")).alias("agent_id"), "parent_tool_call_id", F.col("native_turn").alias("native_turn_id"), "model",
@@ -148,7 +155,8 @@ def build(events: DataFrame, source_key: Column | None = None) -> dict[str, Data
         "call_tools": requests.select(*SESSION, F.concat(F.lit("copilot:call:"), "source_id").alias("call_id"), "tool_call_id"),
         "tools": tool_spans(rows, requests),
         "permissions": permissions(opened),
-        "pending": pending(rows, turns, owned, ends, finish, requests),
+        "turn_sources": sources,
+        **pending(rows, turns, owned, ends, finish, requests, calls, sources),
     }
 
 
@@ -247,32 +255,77 @@ def permissions(opened: DataFrame) -> DataFrame:
     )
 
 
-def pending(rows: DataFrame, turns: DataFrame, owned: DataFrame, ends: DataFrame, finish: DataFrame, requests: DataFrame) -> DataFrame:
-    """Open or unresolved things as (kind, id, reason)."""
+PENDING = [*SESSION, "kind", "id", "reason", "evidence"]
+# Reasons for items without an interaction, by the kind of their record, and its native name.
+NAMELESS = {
+    "user_prompt": ("user message has no interactionId", "user.message"),
+    "assistant_turn_start": ("assistant turn has no interactionId", "assistant.turn_start"),
+    "assistant_message": ("assistant message has no interactionId", "assistant.message"),
+}
+
+
+def _named(values: dict[str, str], by: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[by]
 
-    def out(df: DataFrame, kind: str, ident: Column, reason: str) -> DataFrame:
-        return df.select(*SESSION, F.lit(kind).alias("kind"), ident.alias("id"), F.lit(reason).alias("reason"))
+
+def _note(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f"{name}:"), F.coalesce(value, F.lit("None")))
+
+
+def pending(
+    rows: DataFrame, turns: DataFrame, owned: DataFrame, ends: DataFrame, finish: DataFrame, requests: DataFrame, calls: DataFrame, sources: DataFrame
+) -> dict[str, DataFrame]:
+    """``pending``: open or unresolved things, one row per id; ``pending_sources``: their source records.
+
+    A tool named by several records without a request before them is one thing, with the last
+    record's reason; it stays one when a request without result comes as well.
+    """
+
+    def out(df: DataFrame, kind: str, ident: Column, reason: Column, *evidence: Column) -> DataFrame:
+        return df.select(*SESSION, F.lit(kind).alias("kind"), ident.alias("id"), reason.alias("reason"), F.array(*evidence).alias("evidence"), "source_id")
 
     by_source = F.concat(F.lit("pending:identity:"), F.col("source_id"))
-    nameless = rows.where("interaction_id is null")
-    result = out(nameless.where("kind = 'user_prompt'"), "missing_identity", by_source, "user message has no interactionId")
-    result = result.unionByName(out(nameless.where("kind = 'assistant_turn_start'"), "missing_identity", by_source, "assistant turn has no interactionId"))
-    result = result.unionByName(out(nameless.where("kind = 'assistant_message'"), "missing_identity", by_source, "assistant message has no interactionId"))
-    result = result.unionByName(
-        out(ends.where("interaction_id is null and kind = 'assistant_turn_end'"), "missing_identity", by_source, "turn end has no matching open model cycle")
+    cycle = _note("turn_id", F.col("native_turn"))
+    nameless = rows.where(F.col("interaction_id").isNull() & F.col("kind").isin(*NAMELESS))
+    result = out(
+        nameless, "missing_identity", by_source, _named({k: v[0] for k, v in NAMELESS.items()}, F.col("kind")), _note("native_type", _named({k: v[1] for k, v in NAMELESS.items()}, F.col("kind")))
     )
+    homeless = ends.where("interaction_id is null and kind = 'assistant_turn_end'")
+    result = result.unionByName(out(homeless, "missing_identity", by_source, F.lit("assistant.turn_end has no matching open model cycle"), cycle))
     unmatched = owned.join(finish.select(*SESSION, F.col("end_pos").alias("pos")), [*SESSION, "pos"], "left_anti")
-    result = result.unionByName(out(unmatched, "missing_identity", by_source, "end has no uniquely matching open model cycle"))
-    result = result.unionByName(out(turns.where("not complete"), "open_interaction", F.concat(F.lit("pending:"), "turn_id"), "interaction is not complete"))
-    result = result.unionByName(out(turns.where("lost"), "missing_identity", F.concat(F.lit("pending:identity:"), "turn_id"), "child has no resolved parent tool call"))
+    result = result.unionByName(out(unmatched, "missing_identity", by_source, F.concat("kind", F.lit(" has no uniquely matching open model cycle")), cycle))
+
     key = [*SESSION, "tool_call_id"]
-    asked = requests.groupBy(*key).agg(F.min("pos").alias("asked_at"))
+    asked = requests.groupBy(*key).agg(F.min("pos").alias("asked_at"), F.max_by("source_id", "pos").alias("asked_by"))
     runs = rows.where(F.col("kind").isin("tool_execution_start", "tool_execution_complete", "tool_execution_failure") & F.col("tool_call_id").isNotNull())
-    early = runs.join(asked, key, "left").where("asked_at is null or pos < asked_at").select(*key)
+    early = runs.join(asked, key, "left").where("asked_at is null or pos < asked_at")
+    early = early.groupBy(*key).agg(F.max_by(F.struct("kind", "source_id"), "pos").alias("r")).select(*key, "r.*")
+    by_tool = F.concat(F.lit("pending:tool:"), F.col("tool_call_id"))
+    what = F.when(F.col("kind") == "tool_execution_start", "tool execution start").otherwise("tool result")
+    result = result.unionByName(out(early, "incomplete_tool_pair", by_tool, F.concat(what, F.lit(" has no requesting assistant message")), _note("tool_call_id", F.col("tool_call_id"))))
     answered = runs.where("kind <> 'tool_execution_start'").join(asked, key).where("pos > asked_at").select(*key)
-    open_tools = asked.join(answered, key, "left_anti").select(*key)
-    tools = early.unionByName(open_tools).distinct()
-    return result.unionByName(out(tools, "incomplete_tool_pair", F.concat(F.lit("pending:tool:"), "tool_call_id"), "tool request and result do not pair"))
+    waiting = asked.join(answered, key, "left_anti").join(early, key, "left_anti").withColumnRenamed("asked_by", "source_id")
+    result = result.unionByName(out(waiting, "incomplete_tool_pair", by_tool, F.lit("tool request has no execution result"), _note("tool_call_id", F.col("tool_call_id"))))
+    single = cut_lineage(result)
+
+    ended = calls.where("finish_kind is not null").select(*ITEM).distinct().withColumn("ended", F.lit(True))
+    facts = turns.where("lost or not complete").join(ended, ITEM, "left")
+    agent = F.nullif(F.col("agent"), F.lit(""))
+    parts = facts.select(
+        *SESSION,
+        F.when(F.col("lost"), "missing_identity").otherwise("open_interaction").alias("kind"),
+        F.concat(F.when(F.col("lost"), "pending:identity:").otherwise("pending:"), "turn_id").alias("id"),
+        F.when(F.col("lost"), "completed child interaction has no resolved parent tool call")
+        .when(F.col("ended"), "user interaction has no completed final assistant turn")
+        .otherwise("user interaction has no assistant.turn_end").alias("reason"),
+        F.when(F.col("lost"), F.array(_note("interaction_id", F.col("interaction_id")), _note("agent_id", agent))).otherwise(F.array(_note("interaction_id", F.col("interaction_id")))).alias("evidence"),
+        "turn_id",
+    )
+    of_turns = parts.join(sources, [*SESSION, "turn_id"]).select(*SESSION, "id", "source_id")
+    return {
+        "pending": single.select(*PENDING).unionByName(parts.select(*PENDING)),
+        "pending_sources": single.select(*SESSION, "id", "source_id").unionByName(of_turns),
+    }
 
 
 def main_turns(turns: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from spanloom.session import prepare
 
-MODULES = ("core", "platforms", "jobs", "scalars")
+MODULES = ("core", "platforms", "jobs", "scalars", "reconcile")
 
 
 def _merged(name: str) -> dict:

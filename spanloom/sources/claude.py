@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.ordered import CHUNK_ROWS, scan
 from spanloom.functions.payload import child, content_parts
-from spanloom.functions.times import collapse_backwards, valid_datetime
+from spanloom.functions.times import collapse_backwards, parse_ts, valid_datetime
 from spanloom.session import cut_lineage
 
 SESSION = ["platform", "session_id"]
@@ -70,7 +70,7 @@ def usage_rows(frames: DataFrame) -> DataFrame:
             *SESSION,
             "pos",
             "call_id",
-            F.col("ts_text").alias("ts"),
+            parse_ts(F.col("ts_text")).alias("ts"),
             F.lit("anthropic").alias("provider_name"),
             "response_model",
             F.lit("chat").alias("operation_name"),

@@ -93,7 +93,7 @@ def usage_rows(frames: DataFrame, *, width: int = CHUNK_ROWS) -> DataFrame:
         *SESSION,
         "pos",
         F.concat(F.lit("cum:"), total.cast("string")).alias("call_id"),
-        F.col("ts_text").alias("ts"),
+        parse_ts(F.col("ts_text")).alias("ts"),
         F.lit("openai").alias("provider_name"),
         F.coalesce("model", F.lit("unknown")).alias("response_model"),
         F.lit("chat").alias("operation_name"),

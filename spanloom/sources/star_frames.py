@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.sources import star_views as V
@@ -9,7 +11,11 @@ from spanloom.sources import star_views as V
 ISO = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")"
 
 
-def claude_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The same moment, every third time with an offset.
+OFFSET = f"case when k % 3 = 0 then date_format(ts + interval 2 hours 30 minutes, \"yyyy-MM-dd'T'HH:mm:ss.SSS'+02:30'\") else {ISO} end"
+
+
+def claude_frames(spark: SparkSession, sf_dir: str, stamp: str = ISO) -> DataFrame:
     """events as transcript frames: views are prompts, sign-ups other frames, the rest answers."""
     return V.events(spark, sf_dir).selectExpr(
         "platform",
@@ -17,7 +23,7 @@ def claude_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         "seq as pos",
         "try_parse_json(to_json(named_struct("
         " 'type', case t when 'user_message' then 'user' when 'permission_request' then 'system' else 'assistant' end,"
-        f" 'timestamp', case when k % 9 = 0 then 'bad' else {ISO} end,"
+        f" 'timestamp', case when k % 9 = 0 then 'bad' else {stamp} end,"
         " 'message', named_struct('id', concat('m', cast(v % 3 as string)), 'role', 'x',"
         "   'model', case when k % 10 = 0 then '<synthetic>' else concat('claude-', cast(v % 3 as string)) end,"
         "   'usage', named_struct('input_tokens', v, 'output_tokens', k,"
@@ -138,6 +144,61 @@ def copilot_shutdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def copilot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as transcript records: each order is a model cycle of up to twelve records.
+
+    16 orders make a session, 4 an interaction, whose last is a child agent's.  What is
+    asked, run, ended, aborted, nameless or of another version follows from the customer key.
+    """
+    orders = V.table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as k", "o_custkey as c", "o_orderkey div 16 as s", "concat('i', o_orderkey div 4) as i", "o_orderkey % 4 as m", "case o_orderstatus when 'P' then 'F' else o_orderstatus end as model"
+    )
+    child = "case when m = 3 then concat('a', k div 4) end"
+    block = "named_struct('usage', named_struct('inputTokens', c % 50, 'outputTokens', 0, 'cacheReadTokens', 0, 'cacheWriteTokens', 0, 'reasoningTokens', 0), 'totalNanoAiu', cast(c as double))"
+
+    def record(j: int, when: str, kind: str, agent: str, data: str, extra: str = "") -> str:
+        return f"case when {when} then named_struct('j', {j}, 'doc', to_json(named_struct('type', '{kind}', 'agentId', {agent}, 'data', named_struct({data}){extra}))) end"
+
+    asks = "case when c % 2 = 0 then array(named_struct('toolCallId', concat('t', k), 'name', 'bash')) end"
+    records = [
+        record(0, "m = 0", "user.message", "cast(null as string)", "'interactionId', i, 'content', concat('ask', k)"),
+        record(1, "m = 3", "user.message", child, "'interactionId', i, 'content', concat('sub', k)"),
+        record(
+            2, "true", "assistant.message", child,
+            "'interactionId', i, 'turnId', cast(m as string), 'content', case when c % 9 = 0 then '' else concat('say', k) end, 'model', model,"
+            f" 'parentToolCallId', case when m = 3 then concat('t', k - 1) end, 'toolRequests', {asks},"
+            " 'phase', case when (m = 2 and c % 8 <> 3) or (m = 3 and c % 6 <> 0) then 'final_answer' end",
+        ),
+        record(3, "c % 2 = 0 and c % 7 <> 0", "tool.execution_start", "cast(null as string)", "'toolCallId', concat('t', k)"),
+        record(4, "c % 5 <> 0 and (c % 2 = 0 or c % 11 = 0)", "tool.execution_complete", "cast(null as string)", "'toolCallId', concat('t', k), 'success', true"),
+        record(5, "c % 3 <> 0", "assistant.turn_end", child, "'interactionId', case when m = 3 and c % 4 = 1 then null else i end, 'turnId', cast(m as string)"),
+        record(6, "m = 1 and c % 13 = 0", "abort", "cast(null as string)", "'interactionId', i, 'turnId', '1'"),
+        record(7, "c % 17 = 0", "user.message", "cast(null as string)", "'content', 'lost'"),
+        record(8, "c % 19 = 0", "assistant.message", "cast(null as string)", "'interactionId', i, 'content', 'other'", ", 'schema_version', '99'"),
+        record(9, "c % 23 = 0", "model.title", "cast(null as string)", "'model', 'mini'"),
+        record(10, "k % 16 = 15", "session.shutdown", "cast(null as string)", f"'modelMetrics', map('m1', {block})"),
+        record(11, "k % 16 = 8 and c % 2 = 0", "session.usage_checkpoint", "cast(null as string)", "'n', 1"),
+    ]
+    struct = "array<struct<j:int,doc:string>>"
+    return orders.selectExpr("k", "s", f"explode(filter(cast(array({', '.join(records)}) as {struct}), x -> x is not null)) as r").selectExpr(
+        "'copilot' as platform", "cast(s as string) as session_id", "k * 16 + r.j as pos", "concat('r', k * 16 + r.j) as source_id", "'transcript' as source_kind",
+        "date_format(timestamp_seconds(1704067200 + k % 16 * 16 + r.j), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") as ts", "cast(null as string) as event", "try_parse_json(r.doc) as payload",
+    )
+
+
+def copilot_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as usage table rows of those sessions; a line number of an order is a row id, repeats are revisions."""
+    return V.table(spark, sf_dir, "lineitem").selectExpr(
+        "'copilot' as platform", "cast(l_orderkey div 16 as string) as session_id", "l_partkey * 100000 + cast(floor(l_extendedprice * 100) as bigint) % 100000 as pos",
+        "l_orderkey * 10 + l_linenumber as pk", "case when l_suppkey % 97 = 0 then 'g2' else 'g1' end as generation",
+        "to_json(named_struct('turn_index', (l_orderkey % 16) div 4, 'agent_id', case when l_suppkey % 4 = 3 then concat('a', l_orderkey div 4) end,"
+        " 'parent_tool_call_id', case when l_suppkey % 4 = 3 then concat('t', l_orderkey - l_orderkey % 4 + 2) end, 'model', case when l_suppkey % 31 = 0 then '' else l_linestatus end,"
+        " 'finish_reason', case l_returnflag when 'A' then 'stop' when 'N' then 'tool_calls' end, 'initiator', case l_linenumber % 3 when 1 then 'user' when 2 then 'agent' end,"
+        " 'provider', case when l_suppkey % 2 = 0 then 'openai' end, 'created_at', case when l_suppkey % 37 = 0 then 'bad' else date_format(l_shipdate, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") end,"
+        " 'input_tokens', cast(floor(l_quantity) as bigint), 'output_tokens', l_suppkey, 'cache_read_tokens', cast(floor(l_discount * 300) as bigint), 'total_nano_aiu', 1)) as row_json",
+    )
+
+
 SQL = {
     "cf": """SELECT platform, session_id, seq AS pos, ts, t, k, v, tool_name,
         CASE t WHEN 'user_message' THEN 'user' WHEN 'permission_request' THEN 'system' ELSE 'assistant' END AS type,
@@ -164,7 +225,7 @@ SQL = {
     "om": """SELECT logical_call_id, call_id FROM (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY session_id, ag, pa, model ORDER BY k ROWS UNBOUNDED PRECEDING) AS broken FROM (
         SELECT u.session_id, u.ag, u.pa, u.model, u.k, u.logical_call_id, c.call_id,
         CASE WHEN finish_reason IS NULL THEN true WHEN finish_reason = 'tool_calls' THEN has_tools ELSE NOT has_tools AND has_finish END AS ok
-        FROM (SELECT *, coalesce(agent_id, '') AS ag, coalesce(parent_tool_call_id, '') AS pa, row_number() OVER (PARTITION BY session_id, agent_id, parent_tool_call_id, model ORDER BY pk) AS k FROM ku) u
+        FROM (SELECT *, coalesce(agent_id, '') AS ag, coalesce(parent_tool_call_id, '') AS pa, row_number() OVER (PARTITION BY session_id, agent_id, parent_tool_call_id, model ORDER BY pk, logical_call_id) AS k FROM ku) u
         JOIN (SELECT *, coalesce(agent_id, '') AS ag, coalesce(parent_tool_call_id, '') AS pa, row_number() OVER (PARTITION BY session_id, agent_id, parent_tool_call_id, model
             ORDER BY begun, lpad(native_turn_id, 20, '0'), call_id) AS k FROM (SELECT *, min(start_ts) OVER (PARTITION BY session_id, interaction_id) AS begun FROM kc)) c
         USING (session_id, ag, pa, model, k))) WHERE broken = 0""",
@@ -186,4 +247,35 @@ SQL = {
     "cu": """SELECT c.*, CASE WHEN r.session_id IS NOT NULL THEN 'usage_row_id_reuse' WHEN cache_read_tokens > input_tokens THEN 'usage_revision_conflict' END AS quarantine FROM (
         SELECT * FROM cr QUALIFY row_number() OVER (PARTITION BY session_id, generation, pk ORDER BY pos DESC) = 1) c
         LEFT JOIN (SELECT session_id, pk FROM cr GROUP BY ALL HAVING count(DISTINCT generation) > 1) r USING (session_id, pk)""",
+    "pb": """SELECT *, o_orderkey AS k, o_custkey AS c, o_orderkey // 16 AS s, o_orderkey // 4 AS iv, o_orderkey % 4 AS m, o_custkey % 2 = 0 AS asks, o_custkey % 3 <> 0 AS ends,
+        (o_orderkey % 4 = 2 AND o_custkey % 8 <> 3) OR (o_orderkey % 4 = 3 AND o_custkey % 6 <> 0) AS final, o_orderkey % 4 = 1 AND o_custkey % 13 = 0 AS aborts FROM orders""",
+    "px": """SELECT iv, m = 3 AS child, any_value(s) AS s, min(k) AS k0, bool_or(final) AS final, bool_or(aborts) AS aborts, bool_or(final AND ends AND NOT asks) AS closes, bool_or(ends OR aborts) AS ended,
+        max(CASE WHEN ends THEN k * 16 + 5 WHEN aborts THEN k * 16 + 6 END) AS end1, max(CASE WHEN aborts THEN k * 16 + 6 END) AS end2, arg_max(CASE WHEN c % 9 <> 0 THEN 'say' || k END, CASE WHEN c % 9 <> 0 THEN k END) AS said
+        FROM pb GROUP BY ALL""",
+    "pt": """SELECT px.*, shut, greatest(end1, coalesce(end2, end1)) AS last_end, closes OR aborts OR (final AND shut IS NOT NULL) AS complete, closes OR aborts AS early,
+        CASE WHEN aborts AND NOT final THEN 'interrupted' ELSE 'completed' END AS status,
+        'copilot:turn:key:' || px.s || ':i' || iv || CASE WHEN child THEN ':a' || iv ELSE '' END AS turn_id
+        FROM px LEFT JOIN (SELECT s, k * 16 + 10 AS shut FROM pb WHERE k % 16 = 15) USING (s)""",
+    "pl": """SELECT t.*, t.child AND t.complete AND NOT coalesce(o.asks AND p.complete, false) AS lost FROM pt t LEFT JOIN pt p ON t.child AND p.iv = t.iv AND NOT p.child LEFT JOIN pb o ON t.child AND o.k = t.k0 - 1""",
+    "pc": """SELECT 'copilot' AS platform, CAST(pb.s AS VARCHAR) AS session_id, pb.k AS ordinal, pb.k * 16 + 2 AS pos, 'copilot:call:r' || (pb.k * 16 + 2) AS call_id, CASE WHEN NOT lost THEN turn_id END AS stored_turn_id,
+        'i' || pb.iv AS interaction_id, CASE WHEN m = 3 THEN 'a' || pb.iv END AS agent_id, CASE WHEN m = 3 THEN 't' || (pb.k - 1) END AS parent_tool_call_id, CAST(m AS VARCHAR) AS native_turn_id,
+        CASE o_orderstatus WHEN 'P' THEN 'F' ELSE o_orderstatus END AS model, strftime(TIMESTAMP '2024-01-01' + to_seconds(pb.k % 16 * 16 + 2), '%Y-%m-%dT%H:%M:%SZ') AS start_ts,
+        ends OR pb.aborts AS has_finish, asks AS has_tools, CASE WHEN ends THEN 'assistant_turn_end' WHEN pb.aborts THEN 'abort' END AS finish_kind,
+        strftime(TIMESTAMP '2024-01-01' + to_seconds(pb.k % 16 * 16 + CASE WHEN ends THEN 5 WHEN pb.aborts THEN 6 ELSE 2 END), '%Y-%m-%dT%H:%M:%SZ') AS end_ts
+        FROM pb JOIN pl ON pl.iv = pb.iv AND pl.child = (m = 3)""",
+    "pr": """SELECT c.*, CASE WHEN c.agent_id IS NULL THEN c.call_id WHEN p.has_tools THEN p.call_id END AS root_call FROM pc c LEFT JOIN pc p ON p.ordinal = c.ordinal - 1 AND c.agent_id IS NOT NULL""",
+    "pv": """SELECT 'copilot' AS platform, CAST(l_orderkey // 16 AS VARCHAR) AS session_id, l_partkey * 100000 + CAST(floor(l_extendedprice * 100) AS BIGINT) % 100000 AS pos, l_orderkey * 10 + l_linenumber AS pk,
+        CASE WHEN l_suppkey % 97 = 0 THEN 'g2' ELSE 'g1' END AS generation, (l_orderkey % 16) // 4 AS turn_index, CASE WHEN l_suppkey % 4 = 3 THEN 'a' || (l_orderkey // 4) END AS agent_id,
+        CASE WHEN l_suppkey % 4 = 3 THEN 't' || (l_orderkey - l_orderkey % 4 + 2) END AS parent_tool_call_id, CASE WHEN l_suppkey % 31 <> 0 THEN l_linestatus END AS model,
+        CASE l_returnflag WHEN 'A' THEN 'stop' WHEN 'N' THEN 'tool_calls' END AS finish_reason, CASE l_linenumber % 3 WHEN 1 THEN 'user' WHEN 2 THEN 'agent' END AS initiator,
+        CASE WHEN l_suppkey % 2 = 0 THEN 'openai' END AS provider, CASE WHEN l_suppkey % 37 <> 0 THEN l_shipdate END AS ts, CAST(floor(l_quantity) AS BIGINT) AS input_tokens, l_suppkey AS output_tokens,
+        CAST(floor(l_discount * 300) AS BIGINT) AS cache_read_tokens FROM lineitem""",
+    "pu": """SELECT c.*, 'copilot:usage:key:assistant_usage_events:' || generation || ':' || pk AS logical_call_id, CASE WHEN r.session_id IS NOT NULL THEN 'usage_row_id_reuse' WHEN cache_read_tokens > input_tokens THEN 'usage_revision_conflict' END AS quarantine
+        FROM (SELECT * FROM pv QUALIFY row_number() OVER (PARTITION BY session_id, generation, pk ORDER BY pos DESC) = 1) c
+        LEFT JOIN (SELECT session_id, pk FROM pv GROUP BY ALL HAVING count(DISTINCT generation) > 1) r USING (session_id, pk)""",
 }
+
+#: The same matching rules over the sessions of ``copilot_records``.
+RENAMED = {"kc": "pc", "kr": "pr", "ku": "pu", "io": "pio", "om": "pom", "cy": "pcy", "po": "ppo", "att": "patt"}
+for _name in ("io", "om", "cy", "po", "att"):
+    SQL[RENAMED[_name]] = re.sub(r"\b(" + "|".join(RENAMED) + r")\b", lambda m: RENAMED[m[0]], SQL[_name])

@@ -165,3 +165,42 @@ def test_null_schema_version_is_unknown(spark):
     docs = [{"type": "session.start"}, {"type": "session.start", "schema_version": copilot.SCHEMA_VERSION}, {"type": "session.start", "schema_version": None}, {"type": "session.start", "schema_version": 99}]
     df = spark.createDataFrame([(json.dumps(d),) for d in docs], "p string").withColumn("payload", F.try_parse_json("p"))
     assert [r[0] for r in df.select(copilot.foreign_version(F.col("payload"))).collect()] == [False, False, True, True]
+
+
+def test_keys_follow_their_natural_order(spark):
+    """Whole numbers by value before any text; the i-th key meets the i-th call."""
+    keys = ["9", "10", "100", "011", "a2", "b"]
+    calls = spark.createDataFrame(
+        [("copilot", "n", p, f"c{p}", "t", "i", None, None, str(p), "m", f"2026-08-01T00:00:0{p}Z", True) for p in range(6)],
+        "platform string, session_id string, pos bigint, call_id string, stored_turn_id string, interaction_id string, agent_id string, parent_tool_call_id string, native_turn_id string, model string, start_ts string, has_finish boolean",
+    )
+    tools = spark.createDataFrame([], "platform string, session_id string, call_id string, tool_call_id string")
+    usage = spark.createDataFrame(
+        [("copilot", "n", f"u{k}", k, f"s{k}", 0, None, None, "m", None, None) for k in reversed(keys)],
+        "platform string, session_id string, logical_call_id string, primary_key string, usage_source_id string, turn_index bigint, agent_id string, parent_tool_call_id string, model string, finish_reason string, initiator string",
+    )
+    got = {r.logical_call_id: r for r in AT.attribute_usage(calls, tools, usage).collect()}
+    assert [got[f"u{k}"].call_id for k in keys] == [f"c{i}" for i in range(6)]
+    assert got["u10"].evidence == [
+        "join_kind:inferred", "interaction_id:i", "turn_index:0", "agent_id:None", "parent_tool_call_id:None", "model:m", "finish:None", "initiator:None", "order:1", "call_id:c1"
+    ]
+
+
+def test_a_child_of_a_lost_child_is_lost(spark):
+    """A completed chain counts only if it leads to a completed main turn; pending items name their records."""
+    events = transcript(spark, [
+        ("user.message", None, ix("i1", content="go")),
+        ("assistant.message", None, ix("i1", "0", content="", toolRequests=[{"toolCallId": "a", "name": "task"}])),
+        ("assistant.message", "kid", ix("i1", "0", content="", parentToolCallId="a", toolRequests=[{"toolCallId": "b", "name": "task"}])),
+        ("assistant.message", "grand", ix("i1", "0", content="ok", parentToolCallId="b", phase="final_answer")),
+        ("assistant.turn_end", "grand", ix("i1", "0")),
+        ("subagent.completed", "kid", {"toolCallId": "a"}),
+    ])
+    built = copilot_turns.build(events)
+    turns = {r.agent: r for r in built["turns"].collect()}
+    assert turns["grand"].complete and turns["grand"].lost and turns["kid"].lost and not turns[""].complete
+    assert {r.agent_id: r.stored_turn_id is None for r in built["calls"].collect()} == {None: False, "kid": True, "grand": True}
+    rows = {r.id.rsplit(":", 1)[-1]: r for r in built["pending"].collect()}
+    assert rows["grand"].evidence == ["interaction_id:i1", "agent_id:grand"] and rows["i1"].reason == "user interaction has no assistant.turn_end"
+    sources = {(r.id.rsplit(":", 1)[-1], r.source_id) for r in built["pending_sources"].collect()}
+    assert {("grand", "e3"), ("grand", "e4"), ("kid", "e2"), ("i1", "e0"), ("i1", "e1"), ("a", "e1"), ("b", "e2")} <= sources

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 from pathlib import Path
@@ -52,7 +53,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = local_session(8)
+    spark = local_session(os.environ.get("VERIFY_CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     oracle = all_oracles()
