@@ -103,12 +103,16 @@ def finishes(calls: DataFrame, ends: DataFrame, *, width: int = CHUNK_ROWS) -> D
 
 
 def build(events: DataFrame, source_key: Column | None = None) -> dict[str, DataFrame]:
-    """Tables of whole sessions: ``turns``, ``calls``, ``call_tools``, ``tools``, ``permissions``, ``pending`` and their sources.
+    """Tables of whole sessions: ``turns``, ``calls``, ``call_tools``, ``tools``, ``permissions``, ``pending`` and their sources, ``ends`` with their interactions.
 
     A turn hangs under the completed turn whose tool call started its agent.  One that does not
     lead to a completed main turn is lost: its calls keep no turn.
     """
-    rows = cut_lineage(narrow(events, F.lit("key") if source_key is None else source_key))
+    return assemble(cut_lineage(narrow(events, F.lit("key") if source_key is None else source_key)))
+
+
+def assemble(rows: DataFrame) -> dict[str, DataFrame]:
+    """``build`` from ``narrow`` rows, such as a stream carries."""
     opened = rows.where(F.col("kind").isin(*OPENERS) & F.col("interaction_id").isNotNull())
     messages = opened.where("kind = 'assistant_message'")
     requests = rows.where("kind = 'tool_request'")
@@ -156,6 +160,7 @@ def build(events: DataFrame, source_key: Column | None = None) -> dict[str, Data
         "tools": tool_spans(rows, requests),
         "permissions": permissions(opened),
         "turn_sources": sources,
+        "ends": ends.select(*SESSION, "pos", F.col("interaction_id").alias("owner")),
         **pending(rows, turns, owned, ends, finish, requests, calls, sources),
     }
 

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from spanloom.session import prepare
 
-MODULES = ("core", "platforms", "jobs", "scalars", "reconcile")
+MODULES = ("core", "platforms", "jobs", "scalars", "reconcile", "live")
 
 
 def _merged(name: str) -> dict:

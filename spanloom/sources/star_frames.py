@@ -144,8 +144,8 @@ def copilot_shutdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def copilot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders as transcript records: each order is a model cycle of up to twelve records.
+def copilot_records(spark: SparkSession, sf_dir: str, abort_at: int = 1) -> DataFrame:
+    """orders as transcript records: each order is a model cycle of up to twelve records, aborts after cycle ``abort_at``.
 
     16 orders make a session, 4 an interaction, whose last is a child agent's.  What is
     asked, run, ended, aborted, nameless or of another version follows from the customer key.
@@ -172,7 +172,7 @@ def copilot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         record(3, "c % 2 = 0 and c % 7 <> 0", "tool.execution_start", "cast(null as string)", "'toolCallId', concat('t', k)"),
         record(4, "c % 5 <> 0 and (c % 2 = 0 or c % 11 = 0)", "tool.execution_complete", "cast(null as string)", "'toolCallId', concat('t', k), 'success', true"),
         record(5, "c % 3 <> 0", "assistant.turn_end", child, "'interactionId', case when m = 3 and c % 4 = 1 then null else i end, 'turnId', cast(m as string)"),
-        record(6, "m = 1 and c % 13 = 0", "abort", "cast(null as string)", "'interactionId', i, 'turnId', '1'"),
+        record(6, f"m = {abort_at} and c % 13 = 0", "abort", "cast(null as string)", f"'interactionId', i, 'turnId', '{abort_at}'"),
         record(7, "c % 17 = 0", "user.message", "cast(null as string)", "'content', 'lost'"),
         record(8, "c % 19 = 0", "assistant.message", "cast(null as string)", "'interactionId', i, 'content', 'other'", ", 'schema_version', '99'"),
         record(9, "c % 23 = 0", "model.title", "cast(null as string)", "'model', 'mini'"),
