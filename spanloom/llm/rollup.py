@@ -92,7 +92,7 @@ class Rollup:
     """Additive totals in a folder that driver and executors share.
 
     A batch's delta, a row for each key it touches, is written under a name of its own; then
-    a marker named after the batch is created, which only one writer can do.  Totals are the sum
+    a whole marker is renamed to the batch's name, which only one writer can do.  Totals are the sum
     over the marked deltas.  So a batch that is repeated, or retried after any failure, counts
     once, and a delta without marker not at all.  ``compact`` folds deltas into a snapshot,
     which names the batches inside.
@@ -106,18 +106,27 @@ class Rollup:
         self.files = self.path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _claim(self, name: str, content: str) -> bool:
-        """Create a marker that holds ``content``; False if it is there already."""
-        place = self.path(f"{self.folder}/{name}")
-        if self.files.exists(place):
-            return False
-        try:
-            out = self.files.create(place, False)
-        except Exception:
-            if self.files.exists(place):
-                return False
-            raise
+        """Make a marker that holds ``content``; False if there is one.
+
+        The content is written under a name of its own, which is then renamed without overwriting: so a marker
+        is whole from the moment it is there, whatever fails before.
+        """
+        place, draft = self.path(f"{self.folder}/{name}"), self.path(f"{self.folder}/drafts/{uuid.uuid4().hex}")
+        out = self.files.create(draft, False)
         out.write(bytearray(content.encode()))
         out.close()
+        self.files.mkdirs(place.getParent())
+        hadoop, gateway = self.spark._jvm.org.apache.hadoop.fs, self.spark.sparkContext._gateway
+        rename = getattr(hadoop, "Options$Rename")
+        keep = gateway.new_array(rename, 1)
+        keep[0] = rename.NONE
+        try:
+            hadoop.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration()).rename(self.files.makeQualified(draft), self.files.makeQualified(place), keep)
+        except Exception:
+            if not self.files.exists(place):
+                raise
+            self.files.delete(draft, False)
+            return False
         return True
 
     def _markers(self, kind: str) -> dict[str, str]:
@@ -131,8 +140,12 @@ class Rollup:
         """Add the changes of one batch; False, and nothing done, if the batch was committed before."""
         if not batch or set(batch) - set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-"):
             raise ValueError(f"a batch is named by letters, digits and dashes, not {batch!r}")
-        if self.files.exists(self.path(f"{self.folder}/commits/{batch}")):
-            return False
+        place = self.path(f"{self.folder}/commits/{batch}")
+        if self.files.exists(place):
+            if self.files.getFileStatus(place).getLen():
+                return False
+            # Not from here: no marker is ever without content.
+            self.files.delete(place, False)
         name = f"delta-{uuid.uuid4().hex}"
         signed(changes).write.parquet(f"{self.folder}/{name}")
         return self._claim(f"commits/{batch}", name)
@@ -167,7 +180,8 @@ DECORATION = r"[#*$%&|<>]{2,}"
 
 def maintained(docs: DataFrame, tokenizers: dict[str, str], folder: str) -> DataFrame:
     """Totals after four batches over ``docs``: all rows inserted, texts with decorations
-    revised, copies of an earlier text deleted, and the second batch sent once more.
+    revised, copies of an earlier text deleted, and the second batch sent once more.  ``loaded_docs`` and
+    ``loaded_tokens`` are the totals after the first batch: the counts of the table as it is.
 
     Null and empty texts count as documents without tokens; null sources and languages are keys
     of their own.  Repeated rows count each, and all but one go as copies if their text isn't null.  Rows
@@ -190,11 +204,14 @@ def maintained(docs: DataFrame, tokenizers: dict[str, str], folder: str) -> Data
     rollup = Rollup(docs.sparkSession, folder)
     revised = changed.select("doc_id", *KEYS, F.col("r").alias("n_tokens"), F.col("source").alias("was_source"), F.col("lang").alias("was_lang"), F.col("n").alias("was_tokens"))
     rollup.commit("1-load", inserts(each.withColumnRenamed("n", "n_tokens")))
+    loaded = rollup.totals()
     rollup.commit("2-revise", revised)
     rollup.commit("3-copies", deletes(copies.withColumn("n_tokens", F.coalesce("r", "n"))))
     rollup.commit("2-revise", revised)
     rollup.compact()
-    return rollup.totals()
+    none = F.lit(0).cast("long")
+    both = rollup.totals().select(*KEYS, *SUMS, none.alias("loaded_docs"), none.alias("loaded_tokens")).union(loaded.select(*KEYS, none, none, *SUMS))
+    return both.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in (*SUMS, "loaded_docs", "loaded_tokens")))
 
 
 def op1_token_counts(spark, sf_dir):
