@@ -243,11 +243,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Every byte covered by a string of ``length`` bytes that also starts anywhere else, in the same
     text or another, is removed; strings are judged on the input.  Null and empty texts have no
-    bytes.  Repeated rows are occurrences of each other and get equal answers.  Rows without doc_id are
-    passed by: nothing of them is removed and they count nowhere.  Other columns are not read.
+    bytes.  A row is known by the hash of its doc_id and text, so rows of one doc_id may have different
+    texts, and rows without doc_id count as all others.  Repeated rows are occurrences of each
+    other and get equal answers.  Other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spans, texts = repeated_spans(docs.where("doc_id IS NOT NULL"), length)
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select("id", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("-")), "text").alias("doc_id"), "text")
+    spans, texts = repeated_spans(docs.select("doc_id", "text"), length)
     listed = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,9 +273,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["doc_id", "n_removed", "n_spans", "kept", "cut_sha256"])
 
     cut = texts.join(listed, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept binary, cut_sha256 string")
-    whole = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+    whole = docs.select("id", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     zero = F.lit(0).cast("long")
-    return whole.join(cut, "doc_id", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), "kept", F.coalesce("cut_sha256", "sha").alias("kept_sha256"))
+    return whole.join(cut, "doc_id", "left").select(F.col("id").alias("doc_id"), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), "kept", F.coalesce("cut_sha256", "sha").alias("kept_sha256"))
 
 
 def op4_suffix_array_dedup(spark, sf_dir):
