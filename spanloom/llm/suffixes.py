@@ -34,6 +34,8 @@ CELL = 16
 BUCKET_ROWS = 400_000
 #: Buckets below this size are sorted by one call.
 SMALL = 1 << 15
+#: Ids shared by several texts that are broadcast at most.
+SHARED = 1 << 20
 #: Window starts worked on at a time within a long text.
 BLOCK = 1 << 20
 POSITION = 24
@@ -238,17 +240,32 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     return spans, texts
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs(id, text)`` with a number ``doc_id`` that stands for both.
+
+    It is the id itself where one text only has it, which keeps the sampled rows small; a negative hash of both where
+    several texts share an id, and for rows without id or below 0.  The ids that texts share are broadcast when they are
+    counted to be at most ``SHARED``, and shuffled beyond.
+    """
+    hash_ = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("-")), "text")
+    shared = docs.where("id >= 0").groupBy("id").agg(F.min(hash_).alias("lo"), F.max(hash_).alias("hi")).where("lo <> hi").select("id", F.lit(True).alias("shared"))
+    shared = written(shared, "shared-ids")
+    n = shared.count()
+    marked = docs.join(F.broadcast(shared) if n <= SHARED else shared, "id", "left") if n else docs.withColumn("shared", F.lit(None).cast("boolean"))
+    key = F.when((F.col("id") >= 0) & F.col("shared").isNull(), F.col("id")).otherwise(-hash_.bitwiseAND((1 << 62) - 1) - 1)
+    return marked.select("id", key.alias("doc_id"), "text")
+
+
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes; null where nothing is removed) and kept_sha256.
 
     Every byte covered by a string of ``length`` bytes that also starts anywhere else, in the same
     text or another, is removed; strings are judged on the input.  Null and empty texts have no
-    bytes.  A row is known by the hash of its doc_id and text, so rows of one doc_id may have different
+    bytes.  A row is known by its doc_id and text (``keyed``), so rows of one doc_id may have different
     texts, and rows without doc_id count as all others.  Repeated rows are occurrences of each
     other and get equal answers.  Other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.select("id", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("-")), "text").alias("doc_id"), "text")
+    docs = keyed(docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     spans, texts = repeated_spans(docs.select("doc_id", "text"), length)
     listed = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
