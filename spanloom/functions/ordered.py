@@ -1,14 +1,15 @@
 """Order-dependent computation over logs without putting a session in one task.
 
 A log is ordered by a BIGINT that is unique inside its key (``seq`` of an
-event, ``pos`` of a line).  ``order div width`` therefore splits any key, however
-large, into chunks of at most ``width`` rows.  Every running value is computed in
-two steps: inside the chunk with an ordinary window, and across chunks with a
-window over one summary row per chunk.  A session holding a third of all rows is
-thus spread over as many tasks as it has chunks.  Keys with a single chunk get no
-carry row at all, so the join that adds the carry is tiny for ordinary data.
-
-A scan reads its input twice (rows and chunk summaries).  Operators that need one
+event, ``pos`` of a line).  Keys with more than ``width`` rows are cut, by their own
+lowest and highest order, into as many chunks of equal extent as they have ``width``
+rows; so orders may be sparse, and a session holding a third of all rows is spread over many
+tasks.  All other keys are one chunk.  Every running value is computed in two steps: inside
+the chunk with an ordinary window, and across chunks with a window over one summary
+row per chunk.  Keys with a single chunk get no carry row at all, so the join that adds the
+carry is tiny for ordinary data.
+
+A scan reads its input three times (key sizes, rows and chunk summaries).  Operators that need one
 scan on top of another therefore cut the lineage of the narrow rows in between.
 """
 
@@ -25,6 +26,8 @@ from spanloom.session import cut_lineage, prepare
 
 CHUNK_ROWS = 65_536
 CHUNK = "__chunk"
+#: Keys that are cut: the largest ones.  Any other holds less than one in so many rows, a task's share.
+LARGEST = 4096
 
 
 def _same(left: DataFrame, right: DataFrame, names: Iterable[str]) -> Column:
@@ -34,6 +37,21 @@ def _same(left: DataFrame, right: DataFrame, names: Iterable[str]) -> Column:
     return cond
 
 
+def chunked(df: DataFrame, keys: Sequence[str], order: str, width: int = CHUNK_ROWS) -> DataFrame:
+    """Rows with their chunk, which rises with ``order`` in its key: 0 for a whole key, 1, 2, ... for the parts of a large one.
+
+    At most ``LARGEST`` keys are cut, so what is broadcast is bounded; the sizes are sums, minima and
+    maxima, so every reading of the rows finds the same chunks.
+    """
+    keys = list(keys)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__lo"), F.max(order).alias("__hi"))
+    large = sizes.where(F.col("__n") > width).orderBy(F.desc("__n"), *keys).limit(LARGEST)
+    pieces = f"(__n + {width - 1}) div {width}"
+    large = large.select(*[F.col(k).alias(f"__c_{k}") for k in keys], "__lo", F.expr(f"(__hi - __lo) div ({pieces}) + 1").alias("__extent"))
+    part = F.coalesce(F.expr(f"(`{order}` - __lo) div __extent") + 1, F.lit(0).cast("bigint"))
+    return df.join(F.broadcast(large), _same(df, large, keys), "left").withColumn(CHUNK, part).select(*df.columns, CHUNK)
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -64,9 +82,8 @@ def scan(
 
     running = {**sums, **floors}
     recent = {**lasts, **befores}
-    staged = df.withColumns(
+    staged = chunked(df, keys, order, int(width)).withColumns(
         {
-            CHUNK: F.expr(f"`{order}` div {int(width)}"),
             **{f"__s_{n}": F.coalesce(e.cast("bigint"), F.lit(0)) for n, e in running.items()},
             **{f"__l_{n}": e for n, e in recent.items()},
         }

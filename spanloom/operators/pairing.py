@@ -304,31 +304,75 @@ def permissions_in_turn(events: DataFrame, turns: DataFrame) -> DataFrame:
     )
 
 
-def child_turns_overlapping(windows: DataFrame, children: DataFrame, *, bin_seconds: int = 3600) -> DataFrame:
+#: Finest cell of the interval join, and its levels, each four times as wide as the one below: sixty years at the top.
+CELL_SECONDS, LEVELS = 60, 14
+
+
+def _cells(df: DataFrame, start: str, end: str, name: str) -> DataFrame:
+    """Intervals with their first and last finest cell, and the level at which they span two cells at most."""
+    cell = lambda c: F.expr(f"unix_micros(cast({c} as timestamp)) div {CELL_SECONDS * 1_000_000}")
+    out = df.where(F.col(start) <= F.col(end)).withColumns({f"{name}_a": cell(start), f"{name}_b": cell(end)})
+    length = F.col(f"{name}_b") - F.col(f"{name}_a")
+    level = F.when(length <= 1, 0)
+    for j in range(1, LEVELS):
+        level = level.when(length <= 4**j, j)
+    return out.withColumn(f"{name}_level", level.otherwise(LEVELS))
+
+
+def _spread(df: DataFrame, name: str, lowest: Column, highest: Column) -> DataFrame:
+    out = df.withColumn("__level", F.explode(F.when(lowest <= highest, F.sequence(lowest, highest)).otherwise(F.array().cast("array<int>"))))
+    return out.withColumn("__cell", F.explode(F.expr(f"sequence(shiftright({name}_a, 2 * __level), shiftright({name}_b, 2 * __level))")))
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str]) -> DataFrame:
+    """Pairs of rows with equal keys whose closed intervals overlap, each pair once.
+
+    The longer interval of a pair lies in at most two cells of its own level; the shorter is looked up
+    there.  So an interval makes at most two rows per level, however long it is.  Intervals with a missing or
+    unreadable end, or that run backwards, overlap nothing.
+    """
+    keys = list(keys)
+    a, b = _cells(left, *left_span, "__l"), _cells(right, *right_span, "__r")
+    top, own = F.lit(LEVELS), F.col
+    longer_left = _spread(a, "__l", own("__l_level"), own("__l_level")).join(_spread(b, "__r", own("__r_level"), top), [*keys, "__level", "__cell"])
+    longer_right = _spread(a, "__l", own("__l_level") + 1, top).join(_spread(b, "__r", own("__r_level"), own("__r_level")), [*keys, "__level", "__cell"])
+    columns = [*left.columns, *[c for c in right.columns if c not in keys]]
+    once = F.expr("__cell = shiftright(greatest(__l_a, __r_a), 2 * __level)")
+    meet = (F.col(left_span[0]) <= F.col(right_span[1])) & (F.col(right_span[0]) <= F.col(left_span[1]))
+    return longer_left.unionByName(longer_right.select(*longer_left.columns)).where(once & meet).select(*columns)
+
+
+def windows_with_children(windows: DataFrame, children: DataFrame) -> DataFrame:
+    """Each window with each child turn that overlaps it (c_start, c_end, prompt, output, status, calls, ...): the calls of a
+    window are those of its rows, in the order of c_start, and are never gathered."""
+    kids = children.withColumnsRenamed({"start_ts": "c_start", "end_ts": "c_end"})
+    keys = ["platform", "child_id"] if "platform" in kids.columns else ["child_id"]
+    return overlapping(windows, kids, keys, ("start_ts", "end_ts"), ("c_start", "c_end"))
+
+
+def child_turns_overlapping(windows: DataFrame, children: DataFrame, *, keep: bool = False) -> DataFrame:
     """Child turns overlapping each window: first prompt, last output and status, number of calls.
 
-    Both sides are cut into time bins; a pair is taken only in the bin where the later of
-    the two starts, so it is found once.
+    ``keep`` gives windows without such turns too, those without an end among them.
     """
-    span = lambda c: F.expr(f"unix_micros(cast({c} as timestamp)) div {bin_seconds * 1_000_000}")
-    left = windows.withColumn("__bin", F.explode(F.sequence(span("start_ts"), span("end_ts"))))
-    right = children.select(
-        "child_id", F.col("start_ts").alias("c_start"), F.col("end_ts").alias("c_end"), "prompt", "output", "status", "calls"
-    ).withColumn("__bin", F.explode(F.sequence(span("c_start"), span("c_end"))))
-    met = left.join(right, ["child_id", "__bin"]).where(
-        (F.col("c_start") <= F.col("end_ts"))
-        & (F.col("c_end") >= F.col("start_ts"))
-        & (F.col("__bin") == F.greatest(span("start_ts"), span("c_start")))
-    )
+    met = windows_with_children(windows, children)
     keys = [*SESSION, "child_id", "start_ts", "end_ts"]
     rank = F.struct("c_start", "c_end", "prompt")
-    return met.groupBy(*keys).agg(
+    out = met.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("children"),
         F.min_by("prompt", rank).alias("prompt"),
         F.max_by("output", rank).alias("output"),
         F.max_by("status", rank).alias("status"),
         F.sum("calls").alias("calls"),
     )
+    if not keep:
+        return out
+    every = windows.select(*keys).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & every[k].eqNullSafe(out[k])
+    rest = every.join(out, same, "left_anti")
+    return out.unionByName(rest.withColumn("children", F.lit(0).cast("bigint")), allowMissingColumns=True)
 
 
 def pair_subagents(events: DataFrame, scope: Sequence[str] = SESSION, *, width: int = CHUNK_ROWS) -> DataFrame:

@@ -259,6 +259,20 @@ def token_spikes(calls: DataFrame, *, output_over: int = 4000, input_over: int =
     return out.where((F.col("output_tokens") > output_over) | (F.col("input_tokens") > input_over))
 
 
+def spike_events(calls: DataFrame, events: DataFrame, *, output_over: int = 4000, input_over: int = 80000) -> DataFrame:
+    """Calls above either bound with the event just before them in their session: the result that fed them.
+
+    ``calls`` and ``events`` share the order ``seq``; one scan over both finds the events.
+    """
+    over = calls.where((F.col("output_tokens") > output_over) | (F.col("input_tokens") > input_over))
+    cell = F.struct("call_id", "response_model", "input_tokens", "output_tokens")
+    spikes = over.select(*SESSION, (F.col("seq") * 2 - 1).alias("at"), cell.alias("call"), F.lit(None).cast("string").alias("t"))
+    marks = events.select(*SESSION, (F.col("seq") * 2).alias("at"), F.lit(None).cast(spikes.schema["call"].dataType).alias("call"), "t")
+    event = F.when(F.col("call").isNull(), F.struct(((F.col("at")) / 2).cast("bigint").alias("seq"), F.col("t").alias("t")))
+    out = scan(spikes.unionByName(marks), SESSION, "at", befores={"event": event}).where("call is not null")
+    return out.select(*SESSION, ((F.col("at") + 1) / 2).cast("bigint").alias("seq"), "call.*", F.col("event.seq").alias("event_seq"), F.col("event.t").alias("event_t"))
+
+
 def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost per call from a price table (model, four prices per million tokens).
 

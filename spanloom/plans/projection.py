@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.payload import get
 from spanloom.operators import accounting, attribution
-from spanloom.plans import copilot_turns
+from spanloom.plans import copilot_turns, spans
 from spanloom.session import cut_lineage
 from spanloom.sources import copilot
 
@@ -149,3 +149,53 @@ def projection(records: DataFrame, usage: DataFrame, source_key: Column, databas
         "events": events, "turns": told, "calls": calls, "call_tools": built["call_tools"], "tools": built["tools"], "permissions": built["permissions"], "usage": counted, "attributions": attributed,
         "candidate_sets": sets, "accounting": owned, "pending": pending, "pending_sources": pending_sources, "diagnostics": diagnostics, "diagnostic_sources": sources, "counts": counts,
     }
+
+
+def tool_details(tools: DataFrame, events: DataFrame) -> DataFrame:
+    """Tools with an ``attributes`` map: what start and result say, nested values as JSON with a hint of their kind."""
+    said = events.where("kind in ('tool_execution_start', 'tool_execution_complete', 'tool_execution_failure')").select(*SESSION, "source_id", "data")
+    out = tools
+    for part, keys in (("start", ("arguments",)), ("result", ("result", "success"))):
+        cells = said.select(
+            *SESSION, F.col("source_id").alias(f"{part}_source_id"), spans.flatten(F.col("data"), *keys).alias(f"__{part}"),
+            spans.schema_hint(F.col("data"), *keys).alias(f"__{part}_kinds"),
+        )
+        out = out.join(cells, [*SESSION, f"{part}_source_id"], "left")
+    none = F.create_map().cast("map<string,string>")
+    entries = F.map_concat(*[F.coalesce(f"__{p}", none) for p in ("start", "result")])
+    kinds = F.map_concat(*[F.coalesce(f"__{p}_kinds", none) for p in ("start", "result")])
+    hint = F.when(F.size(kinds) > 0, F.map_from_arrays(F.array(F.lit("schema_hint")), F.array(F.to_json(kinds)))).otherwise(none)
+    return out.withColumn("attributes", F.map_concat(entries, hint)).drop("__start", "__result", "__start_kinds", "__result_kinds")
+
+
+def projection_spans(made: dict[str, DataFrame]) -> DataFrame:
+    """Spans of a projection: told turns under their parents, their calls and tools, accounting in its place.
+
+    Accounting of a matched call becomes that call's usage; other accounting is a row under its turn or its session.
+    """
+    turns = made["turns"].select(
+        *SESSION, "turn_id", F.when(F.col("agent") != "", F.col("parent_turn_id")).alias("parent_turn_id"), "start_ts", "end_ts", "status", F.lit(None).cast("string").alias("model")
+    )
+    known = turns.select(*SESSION, "turn_id")
+    calls = made["calls"].withColumnRenamed("stored_turn_id", "turn_id").join(known, [*SESSION, "turn_id"], "left_semi").select(
+        *SESSION, "call_id", "turn_id", "model", "start_ts", "end_ts", F.lit(None).cast("bigint").alias("input_tokens"), F.lit(None).cast("bigint").alias("output_tokens")
+    )
+    # A tool that several messages asked for belongs to the last of them.
+    asked = made["tools"].withColumn("call_id", F.concat(F.lit("copilot:call:"), "request_source_id")).join(calls.select(*SESSION, "call_id", "turn_id"), [*SESSION, "call_id"])
+    accounting = made["accounting"].select(
+        *SESSION, F.col("logical_call_id").alias("accounting_id"), "call_id", F.col("owner_turn_id").alias("turn_id"), "status", "input_tokens", "output_tokens", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts")
+    )
+    return spans.flatten_spans(turns, calls, tool_details(asked, made["events"]), accounting=accounting)
+
+
+def historical_accounting(made: dict[str, DataFrame], closed: DataFrame) -> DataFrame:
+    """Accounting ids that are finished history when export is first switched on.
+
+    An id counts when a told turn owns it.  Else a matched or pending one stays undecided; an ambiguous or
+    conflicting one counts if its turn is told, or if its session, one of ``closed``, has ended.
+    """
+    known = made["turns"].select(*SESSION, F.col("turn_id").alias("stored_turn_id"), F.lit(True).alias("told"))
+    owned = made["accounting"].where("owner_turn_id is not null").select(*SESSION, "logical_call_id", F.lit(True).alias("owned"))
+    ended = closed.select(*SESSION).distinct().withColumn("ended", F.lit(True))
+    rows = made["attributions"].join(owned, [*SESSION, "logical_call_id"], "left").join(known, [*SESSION, "stored_turn_id"], "left").join(ended, SESSION, "left")
+    return rows.where("owned or (status in ('ambiguous', 'conflicting') and (told or ended))").select(*SESSION, F.col("logical_call_id").alias("accounting_id"))

@@ -34,9 +34,11 @@ def flatten(data: Column, *keys: str) -> Column:
     return F.map_filter(texts, lambda _k, v: v.isNotNull() & (v != "null"))
 
 
-def schema_hint(data: Column) -> Column:
+def schema_hint(data: Column, *keys: str) -> Column:
     """Names of nested entries with ``object`` or ``array``, so readers can decode them."""
     entries = F.coalesce(F.try_variant_get(data, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    if keys:
+        entries = F.map_filter(entries, lambda k, _v: k.isin(*keys))
     kinds = F.transform_values(entries, lambda _k, v: F.regexp_extract(F.schema_of_variant(v), "^(OBJECT|ARRAY)", 1))
     return F.map_filter(F.transform_values(kinds, lambda _k, v: F.lower(v)), lambda _k, v: v != "")
 
@@ -47,13 +49,13 @@ def move_semantic(attrs: Column) -> Column:
     def found(keys: tuple[str, ...]) -> Column:
         return F.coalesce(*[F.when(F.coalesce(F.try_element_at(attrs, F.lit(k)), F.lit("")) != "", F.lit(k)) for k in keys])
 
-    out = attrs
-    for target, keys in (("gen_ai.tool.call.arguments", SPAN_ARGUMENT_KEYS), ("gen_ai.tool.call.result", SPAN_RESULT_KEYS)):
+    def moved(out: Column, target: str, keys: tuple[str, ...]) -> Column:
         source = F.when(F.try_element_at(attrs, F.lit(target)).isNull(), found(keys))
-        moved = F.map_from_arrays(F.array(F.lit(target)), F.array(F.try_element_at(attrs, source)))
-        rest = F.map_filter(out, lambda k, _v, s=source: ~F.coalesce(k == s, F.lit(False)))
-        out = F.when(source.isNotNull(), F.map_concat(rest, moved)).otherwise(out)
-    return out
+        value = F.map_from_arrays(F.array(F.lit(target)), F.array(F.try_element_at(attrs, source)))
+        rest = F.map_filter(out, lambda k, _v: ~F.coalesce(k == source, F.lit(False)))
+        return F.when(source.isNotNull(), F.map_concat(rest, value)).otherwise(out)
+
+    return moved(moved(attrs, "gen_ai.tool.call.arguments", SPAN_ARGUMENT_KEYS), "gen_ai.tool.call.result", SPAN_RESULT_KEYS)
 
 
 def _span(df: DataFrame, kind: str, key: Column, parent: Column, name: Column, attrs: Column) -> DataFrame:

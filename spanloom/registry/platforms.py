@@ -267,7 +267,7 @@ def _overlaps(s, d):
     ev = V.events(s, d)
     windows = ev.where("t = 'tool_call'").selectExpr(*P, "session_id as child_id", "ts as start_ts", "ts + interval 5 hours as end_ts")
     kids = ev.where("t = 'user_message'").selectExpr(
-        "session_id as child_id", "ts as start_ts", "ts + interval 90 minutes as end_ts", "event_text as prompt", "event_text as output", "'completed' as status", "v as calls")
+        "platform", "session_id as child_id", "ts as start_ts", "ts + interval 90 minutes as end_ts", "event_text as prompt", "event_text as output", "'completed' as status", "v as calls")
     return pairing.child_turns_overlapping(windows, kids).select(*P, F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start_ts"), "children", "prompt", "output", "calls")
 
 

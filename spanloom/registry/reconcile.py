@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.operators import accounting, usage
-from spanloom.plans.projection import projection
+from spanloom.plans.projection import historical_accounting, projection, projection_spans
 from spanloom.registry.core import _DAYS, _ROLL, _day_text
 from spanloom.registry.platforms import _current
 from spanloom.sources import claude, codex, star_frames, tables
@@ -55,6 +55,12 @@ _add("platform_usage_by_day", lambda s, d: _day_text(usage.usage_by_day(_all_usa
     "+" + _USAGE + _DAYS.format(where="WHERE ts IS NOT NULL", lo="(SELECT CAST(min(day) AS TIMESTAMP) FROM d)", hi="(SELECT CAST(max(day) AS TIMESTAMP) FROM d)"), *_NEED))
 _add("platform_usage_rollup", lambda s, d: usage.usage_rollup(_all_usage(s, d)), with_views("+" + _USAGE + " " + _ROLL.format(where=""), *_NEED))
 
+_add("spike_events", lambda s, d: usage.spike_events(claude.usage_rows(star_frames.claude_frames(s, d)).withColumnRenamed("pos", "seq"), V.events(s, d), output_over=40, input_over=900).select(
+    "platform", "session_id", "seq", "call_id", "input_tokens", "output_tokens", "event_seq", "event_t"), with_views(
+    """+pe AS (SELECT platform, session_id, seq, lag(seq) OVER w AS event_seq, lag(t) OVER w AS event_t FROM ev WINDOW w AS (PARTITION BY platform, session_id ORDER BY seq)),
+    sp AS (SELECT platform, session_id, pos AS seq, call_id, v + CASE WHEN k % 2 = 0 THEN v % 7 ELSE 0 END AS input_tokens, k AS output_tokens FROM cf WHERE is_call)
+    SELECT sp.*, event_seq, event_t FROM sp JOIN pe USING (platform, session_id, seq) WHERE output_tokens > 40 OR input_tokens > 900""", "ev", "cf"))
+
 # --- copilot projection ----------------------------------------------------------------
 
 
@@ -146,3 +152,35 @@ _add("copilot_counts", lambda s, d: _projection(s, d)["counts"].drop("platform")
     UNION ALL SELECT CAST(session_id AS BIGINT), 'errors' FROM (SELECT DISTINCT session_id, CASE WHEN quarantine = 'usage_row_id_reuse' THEN CAST(pk AS VARCHAR) ELSE logical_call_id END FROM pu WHERE quarantine IS NOT NULL))
     SELECT CAST(s AS VARCHAR) AS session_id, CAST(any_value(events) AS BIGINT) AS events, count(*) FILTER (WHERE part = 'usage') AS usage, count(*) FILTER (WHERE part = 'turns') AS turns, count(*) FILTER (WHERE part = 'pending') AS pending,
     count(*) FILTER (WHERE part = 'ambiguous') AS ambiguous, count(*) FILTER (WHERE part = 'conflicting') AS conflicting, count(*) FILTER (WHERE part = 'errors') AS errors FROM pev LEFT JOIN tall USING (s) GROUP BY s""", *_ALL))
+
+
+# --- spans -----------------------------------------------------------------------------
+def _spans(s, d):
+    """Rows with their attributes as sorted ``name=value`` text."""
+    out = projection_spans(_projection(s, d))
+    cells = F.array_join(F.array_sort(F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
+    return out.withColumn("attributes", cells).drop("platform")
+
+
+_ID = "substr(sha256('copilot/' || {0}), 1, 16)"
+_UNDER = _ID.format("session_id || '/turn/' || {0}")
+_SPANS = f"""pst AS (SELECT CAST(s AS VARCHAR) AS session_id, turn_id, child, iv, status, {_AT.format("(k0 * 16 + CASE WHEN child THEN 1 ELSE 0 END)")} AS start_ts, {_AT.format("(CASE WHEN early THEN last_end ELSE shut END)")} AS end_ts FROM pl WHERE complete AND NOT lost),
+    psc AS (SELECT pc.* FROM pc JOIN pst ON pst.turn_id = pc.stored_turn_id),
+    psa AS (SELECT o.*, u.input_tokens, u.output_tokens, o.call_id IN (SELECT call_id FROM psc) AS own FROM pown o JOIN pu u USING (session_id, logical_call_id) WHERE o.quarantine IS NULL AND o.ts IS NOT NULL AND um IS NOT NULL),
+    prw AS (
+    SELECT session_id, {_ID.format("session_id || '/root'")} AS span_id, NULL AS parent_span_id, 'session' AS kind, 'session' AS name, min(start_ts) AS start_ts, max(end_ts) AS end_ts, 'session.id=' || session_id AS attributes FROM pst GROUP BY session_id
+    UNION ALL SELECT session_id, {_UNDER.format("turn_id")}, CASE WHEN child THEN {_UNDER.format("replace(turn_id, ':a' || iv, '')")} ELSE {_ID.format("session_id || '/root'")} END, 'turn', 'invoke_agent', start_ts, end_ts,
+      'gen_ai.agent.name=copilot|status=' || status || '|turn.id=' || turn_id FROM pst
+    UNION ALL SELECT c.session_id, {_ID.format("c.session_id || '/call/' || c.call_id")}, {_ID.format("c.session_id || '/turn/' || c.stored_turn_id")}, 'chat', 'chat ' || c.model, c.start_ts, c.end_ts,
+      'gen_ai.response.model=' || c.model || coalesce('|gen_ai.usage.input_tokens=' || a.input_tokens || '|gen_ai.usage.output_tokens=' || a.output_tokens, '') FROM psc c LEFT JOIN (SELECT * FROM psa WHERE own) a ON a.call_id = c.call_id
+    UNION ALL SELECT c.session_id, {_ID.format("c.session_id || '/tool/t' || k")}, {_ID.format("c.session_id || '/call/' || c.call_id")}, 'tool', 'execute_tool bash',
+      {_AT.format("(k * 16 + CASE WHEN pb.c % 7 <> 0 THEN 3 ELSE 2 END)").replace("- s * 256", "- pb.s * 256")}, CASE WHEN pb.c % 5 <> 0 THEN {_AT.format("(k * 16 + 4)").replace("- s * 256", "- pb.s * 256")} ELSE '' END,
+      'gen_ai.operation.name=execute_tool' || CASE WHEN pb.c % 7 <> 0 THEN '|gen_ai.tool.call.arguments={{"cmd":"ls ' || pb.c || '","n":' || k || '}}' ELSE '' END || '|gen_ai.tool.call.id=t' || k
+      || CASE WHEN pb.c % 5 <> 0 THEN '|gen_ai.tool.call.result=out ' || pb.c ELSE '' END || '|gen_ai.tool.name=bash' || CASE WHEN pb.c % 7 <> 0 THEN '|schema_hint={{"arguments":"object"}}' ELSE '' END || CASE WHEN pb.c % 5 <> 0 THEN '|success=true' ELSE '' END
+      FROM psc c JOIN pb ON pb.k = c.ordinal WHERE asks
+    UNION ALL SELECT session_id, {_ID.format("session_id || '/call/accounting:' || coalesce(owner_turn_id, 'session') || ':' || logical_call_id")}, CASE WHEN owner_turn_id IS NULL THEN {_ID.format("session_id || '/root'")} ELSE {_UNDER.format("owner_turn_id")} END, 'accounting', 'accounting',
+      strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), 'accounting.id=' || logical_call_id || '|accounting.status=' || status || '|gen_ai.usage.input_tokens=' || input_tokens || '|gen_ai.usage.output_tokens=' || output_tokens FROM psa WHERE NOT coalesce(own, false))"""
+_add("copilot_spans", _spans, _sql(f"+{_FINAL}, {_SPANS} SELECT *, substr(sha256('copilot/' || session_id), 1, 32) AS trace_id FROM prw", *_ALL))
+_add("historical_accounting", lambda s, d: historical_accounting(made := _projection(s, d), made["attributions"].where("cast(session_id as bigint) % 2 = 0")).select("session_id", "accounting_id"), _sql(
+    f"""+{_FINAL} SELECT session_id, logical_call_id AS accounting_id FROM pown WHERE (owner_turn_id IS NOT NULL AND quarantine IS NULL AND ts IS NOT NULL AND um IS NOT NULL)
+    OR (status IN ('ambiguous', 'conflicting') AND (CAST(session_id AS BIGINT) % 2 = 0 OR stored_turn_id IN (SELECT turn_id FROM pl WHERE complete AND NOT lost)))""", *_ALL))

@@ -169,8 +169,8 @@ def copilot_records(spark: SparkSession, sf_dir: str, abort_at: int = 1) -> Data
             f" 'parentToolCallId', case when m = 3 then concat('t', k - 1) end, 'toolRequests', {asks},"
             " 'phase', case when (m = 2 and c % 8 <> 3) or (m = 3 and c % 6 <> 0) then 'final_answer' end",
         ),
-        record(3, "c % 2 = 0 and c % 7 <> 0", "tool.execution_start", "cast(null as string)", "'toolCallId', concat('t', k)"),
-        record(4, "c % 5 <> 0 and (c % 2 = 0 or c % 11 = 0)", "tool.execution_complete", "cast(null as string)", "'toolCallId', concat('t', k), 'success', true"),
+        record(3, "c % 2 = 0 and c % 7 <> 0", "tool.execution_start", "cast(null as string)", "'toolCallId', concat('t', k), 'arguments', named_struct('cmd', concat('ls ', c), 'n', k)"),
+        record(4, "c % 5 <> 0 and (c % 2 = 0 or c % 11 = 0)", "tool.execution_complete", "cast(null as string)", "'toolCallId', concat('t', k), 'result', concat('out ', c), 'success', true"),
         record(5, "c % 3 <> 0", "assistant.turn_end", child, "'interactionId', case when m = 3 and c % 4 = 1 then null else i end, 'turnId', cast(m as string)"),
         record(6, f"m = {abort_at} and c % 13 = 0", "abort", "cast(null as string)", f"'interactionId', i, 'turnId', '{abort_at}'"),
         record(7, "c % 17 = 0", "user.message", "cast(null as string)", "'content', 'lost'"),

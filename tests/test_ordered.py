@@ -111,3 +111,19 @@ def test_hot_session_is_spread_over_chunks(spark):
     assert out.where("seq = 9999").first().n == 10_000
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and "__chunk" in plan
+
+
+def test_sparse_orders_are_cut_by_rows(spark):
+    """A large key at a wide stride has a chunk per ``width`` rows, small keys one; clusters only move the cuts."""
+    from spanloom.functions.ordered import CHUNK, chunked
+
+    big = spark.range(100_000).selectExpr("'big' as k", "id * 100000 as pos")
+    small = spark.range(3_000).selectExpr("concat('s', id % 30) as k", "id * 100000 as pos")
+    nulls = spark.range(5).selectExpr("cast(null as string) as k", "id as pos")
+    rows = big.unionByName(small).unionByName(nulls)
+    chunks = {(r["k"], r[CHUNK]): r["n"] for r in chunked(rows, ["k"], "pos", 5_000).groupBy("k", CHUNK).agg(F.count("*").alias("n")).collect()}
+    of_big = [n for (k, _), n in chunks.items() if k == "big"]
+    assert len(of_big) == 20 and max(of_big) <= 5_001 and all(c == 0 for k, c in chunks if k != "big") and len(chunks) == 20 + 30 + 1
+    out = O.scan(rows, ["k"], "pos", sums={"n": F.lit(1)}, befores={"prev": F.col("pos")}, width=5_000)
+    wrong = out.where("k = 'big' AND (n <> pos div 100000 + 1 OR NOT (prev <=> IF(pos = 0, NULL, pos - 100000)))")
+    assert wrong.isEmpty() and out.where("k = 'big'").count() == 100_000

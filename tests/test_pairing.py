@@ -189,3 +189,31 @@ def test_owner_is_the_narrowest_window(spark):
     events = spark.createDataFrame([("p", "s", 5, None), ("p", "s", 12, None), ("p", "s", 18, None), ("p", "s", 24, None), ("p", "s", 200, None), ("p", "s", 18_000, "a"), ("p", "s", 7, "ghost")], "platform string, session_id string, seq bigint, agent_id string")
     got = {r.seq: r.owner for r in P.owning_agent(events, windows, width=8).collect()}
     assert got == {5: "a", 12: "b", 18: "b", 24: "c", 200: None, 18_000: "a", 7: None}
+
+
+def test_overlaps_of_all_lengths(spark):
+    """Windows from seconds to decades against every pair; missing ends overlap nothing, and their windows stay on request."""
+    import random
+    from datetime import datetime, timedelta
+
+    from spanloom.operators import pairing
+
+    rng = random.Random(4)
+    begin = datetime(2001, 1, 1)
+
+    def spans(n, name):
+        out = []
+        for i in range(n):
+            a = begin + timedelta(seconds=rng.randrange(0, 10**8))
+            b = a + timedelta(seconds=rng.choice([0, 1, 59, 60, 600, 10**5, 10**7, 10**9]) + rng.randrange(0, 50))
+            out.append((rng.choice("pq"), "s", rng.choice("xy"), a, None if i % 17 == 5 else b, f"{name}{i}"))
+        return out
+
+    left, right = spans(60, "w"), spans(80, "c")
+    windows = spark.createDataFrame(left, "platform string, session_id string, child_id string, start_ts timestamp, end_ts timestamp, name string")
+    kids = spark.createDataFrame([(p, c, a, b, n, n, "done", 1) for p, _, c, a, b, n in right], "platform string, child_id string, start_ts timestamp, end_ts timestamp, prompt string, output string, status string, calls int")
+    got = sorted((r["name"], r["prompt"]) for r in pairing.windows_with_children(windows, kids).collect())
+    want = sorted((w[5], c[5]) for w in left for c in right if w[0] == c[0] and w[2] == c[2] and w[4] and c[4] and w[3] <= c[4] and c[3] <= w[4])
+    assert got == want and len(want) > 100
+    kept = pairing.child_turns_overlapping(windows, kids, keep=True)
+    assert kept.count() == len(left) and kept.where("children = 0").count() == len({w[5] for w in left} - {w for w, _ in want})
