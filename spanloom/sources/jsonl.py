@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.ordered import scan
+from spanloom.functions.ordered import number, scan
 from spanloom.functions.payload import get, is_object
 
 LAYOUT = r"/([^/]+)/([^/]+)/[^/]+$"
+#: Rows of one part of a log; a longer log goes on in the next part, so no task writes more of it.
+PART_ROWS = 65_536
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -30,6 +32,40 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_logs(rows: DataFrame, path: str, order: str, *, part_rows: int = PART_ROWS, line_sep: str = "\n") -> None:
+    """Write ``rows(platform, session_id, line)`` as logs in ``order``, which is unique inside a session.
+
+    A log lies in ``platform=…/log=<session>~<part>``; each part has ``part_rows`` lines at most.
+    NULL lines are written as empty ones, and no rows make no log.
+    """
+    placed = number(rows.select("platform", "session_id", order, "line"), ["platform", "session_id"], order, "nth")
+    log = F.concat("session_id", F.lit("~"), F.expr(f"cast(nth div {part_rows} as string)"))
+    (
+        placed.select("platform", log.alias("log"), "nth", F.coalesce("line", F.lit("")).alias("value"))
+        .repartition("platform", "log")
+        .sortWithinPartitions("platform", "log", "nth")
+        .drop("nth")
+        .write.partitionBy("platform", "log")
+        .option("lineSep", line_sep)
+        .text(path)
+    )
+
+
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of ``write_logs``, like ``read_lines``; ``pos`` rises through the parts of a session, ``part`` tells them apart."""
+    lines = read_lines(spark, path)
+    log = F.regexp_replace("session_id", "^log=", "")
+    part = F.regexp_extract(log, "~([0-9]+)$", 1).try_cast("bigint")
+    return lines.withColumns(
+        {
+            "platform": F.regexp_replace("platform", "^platform=", ""),
+            "session_id": F.regexp_replace(log, "~[0-9]+$", ""),
+            "part": part,
+            "pos": F.shiftleft(part, 40) + F.col("pos"),
+        }
+    )
+
+
 def complete_lines(lines: DataFrame) -> DataFrame:
     """Lines that end in a newline, with byte offset and length.
 

@@ -180,3 +180,16 @@ def test_export(spark, tmp_path):
     assert cases == {"a": 25, "b": 0} and spark.read.json(str(tmp_path / "out/parts")).count() == 3
     with pytest.raises(LookupError):
         tables.export_cases(sessions.where("false"), events, str(tmp_path / "none"))
+
+
+def test_logs_come_back_in_order_over_several_parts(spark, tmp_path):
+    rows = [("claude", "s-1", i * 1000, f"line {i}") for i in range(25)] + [("codex", "s~2", 1, None), ("codex", "s~2", 2, "last")]
+    jsonl.write_logs(spark.createDataFrame(rows, "platform string, session_id string, at long, line string"), f"{tmp_path}/logs", "at", part_rows=10)
+    got = jsonl.read_logs(spark, f"{tmp_path}/logs")
+    one = got.where("session_id = 's-1'").orderBy("pos").collect()
+    assert [r.line for r in one] == [f"line {i}" for i in range(25)]
+    assert [r.part for r in one] == [0] * 10 + [1] * 10 + [2] * 5
+    assert [r.line for r in got.where("platform = 'codex' and session_id = 's~2'").orderBy("pos").collect()] == ["", "last"]
+    # Offsets are those of each part's own file.
+    placed = jsonl.complete_lines(got.where("session_id = 's-1'")).orderBy("pos").collect()
+    assert [r.byte_offset for r in placed][:3] == [0, 7, 14] and placed[10].byte_offset == 0
