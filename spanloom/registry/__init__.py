@@ -6,7 +6,7 @@ from importlib import import_module
 
 from spanloom.session import prepare
 
-MODULES = ("core", "platforms", "jobs", "scalars", "reconcile", "live", "logs")
+MODULES = ("core", "platforms", "jobs", "scalars", "reconcile", "live", "logs", "trees")
 
 
 def _merged(name: str) -> dict:
