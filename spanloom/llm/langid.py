@@ -19,8 +19,8 @@ from spanloom.llm.common import documents, runs
 DICTIONARY_BYTES = 1 << 17
 #: Times a dictionary's size that is looked at to fill it.
 SPARE = 4
-#: Languages told apart, at most; rarer ones go unlearned.
-LANGUAGES = 256
+#: Bytes of training text over all languages, at most: of more than 256 languages each gets an equal part of it.
+SAMPLE_BYTES = 1 << 25
 LEVEL = 3
 #: A lead over the second best of less than this share of the best size is narrow.
 MARGIN = 0.02
@@ -32,21 +32,24 @@ def letters(text: str) -> str:
     return " ".join(LETTERS.findall(text.lower()))
 
 
-def learn(rows: DataFrame, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+def learn(rows: DataFrame, size: int = DICTIONARY_BYTES, total: int = SAMPLE_BYTES) -> dict[str, bytes]:
     """A raw-content dictionary per language from ``rows(doc_id, text, lang)``, the most frequent language first.
 
-    The sample is bounded: of each language the rows of smallest id hash, until their letters
-    fill ``size`` bytes.  A language's amount of text gives the share of hashes that is looked at,
-    ``SPARE`` times what the dictionary needs, so that what meets in one task is bounded at any
-    scale.  Rows with a null language or text teach nothing; equal texts of a language teach once.
+    Every language with a letter in its texts is learned.  The sample is bounded: of each language the rows of
+    smallest id hash, until their letters fill ``size`` bytes, or an equal part of ``total``.  A language's
+    amount of text gives the share of hashes that is looked at, ``SPARE`` times what the dictionary needs and its
+    first row with a letter at least, so that what meets in one task is bounded at any scale.  Rows with a null
+    language or text teach nothing; equal texts of a language teach once; rows without id are hashed by their text.
     """
-    rank = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) / float(1 << 40)
+    rank = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text").cast("string"))), F.lit(1 << 40)) / float(1 << 40)
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").select(rank.alias("rank"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    amounts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.least(F.length("text"), F.lit(size))).alias("chars"))
-    known = {r["lang"]: SPARE * size / max(r["chars"], 1) for r in amounts.orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()}
+    lettered = F.substring("text", 1, size).rlike(r"\p{L}")
+    amounts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.least(F.length("text"), F.lit(size))).alias("chars"), F.min(F.when(lettered, F.col("rank"))).alias("first"))
+    known = amounts.orderBy(F.col("n").desc(), "lang").collect()
     if not known:
         return {}
-    share = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))[F.col("lang")]
+    size = max(1, min(size, total // len(known)))
+    shares = rows.sparkSession.createDataFrame([(r["lang"], max(SPARE * size / max(r["chars"], 1), r["first"] or 0.0)) for r in known], "lang string, share double")
 
     def fill(key, part):
         import pandas as pd
@@ -56,9 +59,9 @@ def learn(rows: DataFrame, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
         keep = best["text"].str.encode("utf-8").str.len().cumsum().shift(1, fill_value=0) < size
         return pd.DataFrame({"lang": [key[0]], "content": [" ".join(best["text"][keep][::-1]).encode()[-size:]]})
 
-    sample = rows.where(F.col("rank") < share).withColumn("text", F.substring("text", 1, size))
+    sample = rows.join(F.broadcast(shares), "lang").where("rank <= share").select("rank", "lang", F.substring("text", 1, size).alias("text"))
     learned = {r["lang"]: bytes(r["content"]) for r in sample.groupBy("lang").applyInPandas(fill, "lang string, content binary").collect()}
-    return {lang: learned[lang] for lang in known if learned.get(lang)}
+    return {r["lang"]: learned[r["lang"]] for r in known if learned.get(r["lang"])}
 
 
 @lru_cache(4)

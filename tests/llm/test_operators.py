@@ -240,6 +240,18 @@ def test_language_of_awkward_rows(docs, empty):
     assert all(r["p"]["lang"] == "und" for r in docs.select(langid.language(F.col("text"), {}).alias("p")).collect())
 
 
+def test_every_language_is_learned(spark):
+    # More languages than have whole dictionaries, and few texts that are longer than a dictionary each.
+    words = ["".join(chr(97 + (i * 7 + j * 5) % 26) for j in range(6)) for i in range(300)]
+    rows = [(i, " ".join(words[(i + j) % 300] for j in range(40)), f"l{i:03}") for i in range(300)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), size=1000, total=30_000)
+    assert set(model) == {f"l{i:03}" for i in range(300)} and all(len(v) <= 100 for v in model.values())
+    long = [(i, ("1 " if i % 4 else "") + f"{words[i // 4]} " * 400, f"l{i // 4:03}") for i in range(1200)]
+    assert len(langid.learn(spark.createDataFrame(long, "doc_id long, text string, lang string"), size=500)) == 300
+    bare = [(None, "12 34", "none"), (None, "wort", "de"), (None, "wort", "de")]
+    assert set(langid.learn(spark.createDataFrame(bare, "doc_id long, text string, lang string"))) == {"de"}
+
+
 # --- op8 ---------------------------------------------------------------------------------------
 def test_leaks(spark, docs, empty):
     rng = random.Random(9)
