@@ -270,7 +270,20 @@ _add("search_tagged", lambda s, d: search.search_events(
     _twenty(s, d), "read", live_tags=_live(s, d), tags=["tag-0", "tag-1"]).groupBy("platform", "session_id", "seq").agg(F.count(F.lit(1)).alias("hits")), with_views(
     f"""+{_TWENTY}, both_tags AS (SELECT platform, session_id, seq AS anchor FROM live_tags WHERE tag IN ('tag-0', 'tag-1') GROUP BY ALL HAVING count(DISTINCT tag) = 2)
     SELECT platform, session_id, anchor AS seq, count(*) AS hits FROM tw SEMI JOIN both_tags USING (platform, session_id, anchor) WHERE contains(lower(event_text), 'read') GROUP BY ALL""", "ev", "live_tags"))
-_add("extract_hashtags", lambda s, d: V.documents(s, d).select("seq", F.array_join(F.array_sort(X.extract_hashtags(F.col("event_text"))), ",").alias("tags")))
+
+
+def _hashtags(text: str) -> str:
+    """A space after each sign that may stand before a hash leaves every tag a sign of its own to begin with."""
+    word = r"\pL\pM\pN_"
+    spaced = rf"regexp_replace({text}, '([^{word}])#', '\1 #', 'g')"
+    found = f"regexp_extract_all({spaced}, '(?:^|[^{word}])#([a-zA-Z][{word}-]{{0,63}})', 1)"
+    return f"SELECT doc_id AS seq, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform({found}, lambda x: lower(x)), lambda x: regexp_full_match(x, '[a-z0-9_.#-]{{1,64}}')))), ','), '') AS tags FROM documents"
+
+
+_add("extract_hashtags", lambda s, d: V.documents(s, d).select("seq", F.array_join(F.array_sort(X.extract_hashtags(F.col("event_text"))), ",").alias("tags")), _hashtags("text"))
+#: Words that begin with t become tags; a hash inside a word makes none.
+_add("hashtags_in_texts", lambda s, d: V.documents(s, d).withColumn("event_text", F.expr("replace(replace(replace(event_text, ' t', ' #T'), 'a', 'a#'), '.', '-#e##u.#')")).select(
+    "seq", F.array_join(F.array_sort(X.extract_hashtags(F.col("event_text"))), ",").alias("tags")), _hashtags("replace(replace(replace(text, ' t', ' #T'), 'a', 'a#'), '.', '-#e##u.#')"))
 _add("condense_event", lambda s, d: V.events(s, d).select("platform", "session_id", "seq", X.condense_event(
     F.col("seq"), F.col("t"), F.col("tool_name"), F.col("command"), F.col("file_path"), F.col("event_text")).alias("line")), with_views(
     """SELECT platform, session_id, seq, rpad(CAST(seq AS VARCHAR), CAST(greatest(4, length(CAST(seq AS VARCHAR))) AS INTEGER), ' ') || ' ' || rpad(t, 20, ' ') || ' ' ||
