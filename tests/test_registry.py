@@ -19,6 +19,7 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "usage_by_day", "usage_by_day_bounded", "usage_totals", "top_sessions", "usage_summary", "list_sessions", "vocabulary", "effective_tags", "search_documents", "turns", "filter_turns",
     "copilot_projection", "platform_usage_by_day", "open_interactions", "live_call_spans", "live_interactions", "source_replaced", "elide_middle", "rubric_disagreement", "waste_signatures", "claude_usage_rows", "codex_usage_rows", "cursor_usage_rows", "dedup_messages", "shutdown_mismatch", "export_eligible",
+    "tag_log_effective", "transcript_records", "rollout_frames", "cursor_session_tree",
 ]
 NAMES = list(all_queries()) if os.environ.get("SPANLOOM_ALL") else SAMPLE
 
