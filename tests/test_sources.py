@@ -193,3 +193,14 @@ def test_logs_come_back_in_order_over_several_parts(spark, tmp_path):
     # Offsets are those of each part's own file.
     placed = jsonl.complete_lines(got.where("session_id = 's-1'")).orderBy("pos").collect()
     assert [r.byte_offset for r in placed][:3] == [0, 7, 14] and placed[10].byte_offset == 0
+
+
+def test_many_logs_share_files(spark, tmp_path):
+    rows = spark.range(600).selectExpr("'claude' as platform", "concat('s/', id div 2) as session_id", "id as at", "concat('line ', id, case when id % 2 = 1 then '' else '\\n' end) as line")
+    jsonl.write_logs(rows, f"{tmp_path}/logs", "at", line_sep=" ")
+    assert len([p for p in (tmp_path / "logs").rglob("part-*")]) == 1
+    got = jsonl.read_logs(spark, f"{tmp_path}/logs")
+    assert {(r.session_id, r.line) for r in got.collect()} == {(f"s/{i // 2}", f"{' ' * (i % 2)}line {i}{' ' * (i % 2)}") for i in range(600)}
+    # The last line of each log lacks its newline.
+    done = jsonl.complete_lines(got).collect()
+    assert {(r.line, r.byte_offset) for r in done} == {(f"line {i}", 0) for i in range(0, 600, 2)}
