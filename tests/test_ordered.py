@@ -127,3 +127,22 @@ def test_sparse_orders_are_cut_by_rows(spark):
     out = O.scan(rows, ["k"], "pos", sums={"n": F.lit(1)}, befores={"prev": F.col("pos")}, width=5_000)
     wrong = out.where("k = 'big' AND (n <> pos div 100000 + 1 OR NOT (prev <=> IF(pos = 0, NULL, pos - 100000)))")
     assert wrong.isEmpty() and out.where("k = 'big'").count() == 100_000
+
+
+def test_scan_without_a_large_key_shuffles_once(spark):
+    rows = spark.range(1000).selectExpr("id % 50 as k", "id as pos")
+    out = O.scan(rows, ["k"], "pos", sums={"n": F.lit(1)}, lasts={"last": F.col("pos")}, floors={"low": F.lit(-1)}, width=100)
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {(r.k, r.pos): (r.n, r.last, r.low, r.low_before) for r in out.collect()} == {(i % 50, i): (i // 50 + 1, i, -(i // 50 + 1), -(i // 50)) for i in range(1000)}
+
+
+def test_a_lineage_cut_keeps_columns_apart(spark):
+    from spanloom.session import cut_lineage
+
+    rows = spark.range(100).selectExpr("id", "repeat('x', 1000) as wide", "null as none", "try_parse_json(concat('{\"a\":', id, '}')) as v")
+    cut = cut_lineage(rows)
+    assert cut.schema.names == rows.schema.names and cut.where("none is null").count() == 100
+    assert cut.selectExpr("sum(variant_get(v, '$.a', 'bigint'))").head()[0] == 4950
+    scan = cut.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" in scan.lower() and "wide" not in scan
