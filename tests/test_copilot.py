@@ -204,3 +204,32 @@ def test_a_child_of_a_lost_child_is_lost(spark):
     assert rows["grand"].evidence == ["interaction_id:i1", "agent_id:grand"] and rows["i1"].reason == "user interaction has no assistant.turn_end"
     sources = {(r.id.rsplit(":", 1)[-1], r.source_id) for r in built["pending_sources"].collect()}
     assert {("grand", "e3"), ("grand", "e4"), ("kid", "e2"), ("i1", "e0"), ("i1", "e1"), ("a", "e1"), ("b", "e2")} <= sources
+
+
+def test_shutdown_totals_need_no_shuffle_and_revisions_carry_only_what_is_read(spark):
+    from spanloom.operators import accounting
+
+    def block(n):
+        return {"usage": {"inputTokens": n, "outputTokens": 1, "cacheReadTokens": 0, "cacheWriteTokens": 0, "reasoningTokens": 0}, "totalNanoAiu": 2.0}
+
+    docs = [
+        {"data": {"modelMetrics": {"a": block(3), "b": block(4)}, "agentMetrics": {"main": {"modelMetrics": {"a": block(7)}}}}},
+        {"data": {"modelMetrics": {"a": block(3), "b": block("4")}, "agentMetrics": {"main": {"modelMetrics": {"a": block(7)}}}}},
+        {"data": {"modelMetrics": {"a": block(3)}, "agentMetrics": {"main": {"modelMetrics": {"a": block(7)}}, "x": {}}}},
+        {"data": {}},
+    ]
+    rows = [("copilot", "s", f"r{i}", json.dumps(x)) for i, x in enumerate(docs)]
+    made = spark.createDataFrame(rows, "platform string, session_id string, source_id string, doc string").selectExpr("platform", "session_id", "source_id", "parse_json(doc) as payload")
+    totals = accounting.shutdown_totals(made)
+    assert "Exchange" not in totals._jdf.queryExecution().executedPlan().toString()
+    got = {(r.source_id, r.agent): (r.readable, r.input_tokens, r.total_nano_aiu) for r in totals.collect()}
+    assert got == {
+        ("r0", None): (True, 7, 4), ("r0", "main"): (True, 7, 2), ("r1", None): (False, 3, 4), ("r1", "main"): (False, 7, 2), ("r2", None): (True, 3, 2), ("r2", "main"): (False, 7, 2),
+        ("r2", "x"): (False, None, None), ("r3", None): (False, None, None),
+    }
+    revisions = spark.createDataFrame(
+        [("copilot", "s", "c", p, "g1", "1", f"long{p}", p, 0, 0, 0, 0, 0) for p in (1, 2)],
+        "platform string, session_id string, logical_call_id string, pos bigint, generation string, primary_key string, source_id string, " + ", ".join(f"{m} bigint" for m in accounting.METRICS))
+    current = accounting.current_revisions(revisions, ("pos",))
+    assert "source_id" not in current.columns and [(r.pos, r.input_tokens, r.first_pos) for r in current.collect()] == [(2, 2, 1)]
+    assert accounting.current_revisions(revisions).head().source_id == "long2"
