@@ -233,3 +233,21 @@ def test_shutdown_totals_need_no_shuffle_and_revisions_carry_only_what_is_read(s
     current = accounting.current_revisions(revisions, ("pos",))
     assert "source_id" not in current.columns and [(r.pos, r.input_tokens, r.first_pos) for r in current.collect()] == [(2, 2, 1)]
     assert accounting.current_revisions(revisions).head().source_id == "long2"
+
+
+def test_agreeing_calls_are_built_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(AT, "cycle_order", lambda rooted, inner=AT.cycle_order: made.append(1) or inner(rooted))
+    calls = spark.createDataFrame(
+        [("copilot", "s", i, f"c{i}", "t", "i1", None, None, "0", "m", f"2026-01-01T00:00:0{i}", True) for i in range(3)],
+        "platform string, session_id string, pos bigint, call_id string, stored_turn_id string, interaction_id string, agent_id string, parent_tool_call_id string,"
+        " native_turn_id string, model string, start_ts string, has_finish boolean")
+    tools = spark.createDataFrame([], "platform string, session_id string, call_id string, tool_call_id string")
+    usage = spark.createDataFrame(
+        [("copilot", "s", "u1", 1, "src", 0, None, None, "m", "tool_calls", None), ("copilot", "s", "u2", 2, "src", 0, None, None, "m", "stop", None)],
+        "platform string, session_id string, logical_call_id string, pk bigint, usage_source_id string, turn_index bigint, agent_id string, parent_tool_call_id string,"
+        " model string, finish_reason string, initiator string")
+    done, sets = AT.attributions(calls, tools, usage)
+    got = {r.logical_call_id: (r.status, r.candidate_set) for r in done.collect()}
+    assert len(made) == 1 and got["u1"] == ("pending", None) and got["u2"][0] == "ambiguous"
+    assert {(r.candidate_set, r.call_id) for r in sets.collect()} == {(got["u2"][1], f"c{i}") for i in range(3)}
