@@ -251,3 +251,14 @@ def test_agreeing_calls_are_built_once(spark, monkeypatch):
     got = {r.logical_call_id: (r.status, r.candidate_set) for r in done.collect()}
     assert len(made) == 1 and got["u1"] == ("pending", None) and got["u2"][0] == "ambiguous"
     assert {(r.candidate_set, r.call_id) for r in sets.collect()} == {(got["u2"][1], f"c{i}") for i in range(3)}
+
+
+def test_flatten_spans_builds_accounting_once(spark):
+    from spanloom.plans.spans import flatten_spans
+
+    turns = spark.createDataFrame([("copilot", "s", "t", None, "a", "b", "completed", "m")], "platform string, session_id string, turn_id string, parent_turn_id string, start_ts string, end_ts string, status string, model string")
+    calls = spark.createDataFrame([("copilot", "s", "c", "t", "m", "a", "b", None, None)], "platform string, session_id string, call_id string, turn_id string, model string, start_ts string, end_ts string, input_tokens long, output_tokens long")
+    rows = spark.range(3).selectExpr("'copilot' as platform", "'s' as session_id", "concat('u', id) as accounting_id", "case when id = 0 then 'c' end as call_id", "'t' as turn_id", "'matched' as status", "id as input_tokens", "id as output_tokens", "'a' as ts")
+    out = flatten_spans(turns, calls, accounting=rows.repartition(3, "accounting_id"))
+    assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.kind for r in out.collect()) == ["accounting", "accounting", "chat", "session", "turn"]
