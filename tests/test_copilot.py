@@ -262,3 +262,25 @@ def test_flatten_spans_builds_accounting_once(spark):
     out = flatten_spans(turns, calls, accounting=rows.repartition(3, "accounting_id"))
     assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r.kind for r in out.collect()) == ["accounting", "accounting", "chat", "session", "turn"]
+
+
+def test_projection_makes_only_what_is_read(spark, monkeypatch):
+    from spanloom.plans import projection as P
+    from spanloom.sources import star_frames
+
+    made = []
+    for name in ("row_metrics", "current_revisions", "shutdown_totals"):
+        monkeypatch.setattr(P.accounting, name, lambda *a, inner=getattr(P.accounting, name), name=name: made.append(name) or inner(*a))
+    d = "/root/testdata/sf0.001"
+    tables = P.projection(star_frames.copilot_records(spark, d), star_frames.copilot_database(spark, d), F.lit("key"), F.lit("key"), F.col("generation"))
+    assert tables["calls"].count() and not made
+    assert tables["usage"].count() and made == ["row_metrics", "current_revisions"]
+    assert tables["tools"].count() and "counts" in tables and made == ["row_metrics", "current_revisions"]
+
+
+def test_small_files_are_spread_over_the_cores(spark):
+    from spanloom.sources import star_frames
+
+    cores = spark.sparkContext.defaultParallelism
+    for rows in (star_frames.copilot_records(spark, "/root/testdata/sf0.01"), star_frames.copilot_database(spark, "/root/testdata/sf0.01")):
+        assert sum(n > 0 for n in rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()) >= min(cores, 2)
