@@ -204,3 +204,14 @@ def test_many_logs_share_files(spark, tmp_path):
     # The last line of each log lacks its newline.
     done = jsonl.complete_lines(got).collect()
     assert {(r.line, r.byte_offset) for r in done} == {(f"line {i}", 0) for i in range(0, 600, 2)}
+
+
+def test_parsed_columns_are_not_copied_into_filters(spark):
+    from spanloom.sources import codex, star_frames, tables
+    from spanloom.sources.jsonl import json_frames
+
+    lines = spark.createDataFrame([("a", "s", "f", 1, '{"platform": "a", "session_id": "s", "call_id": "c", "seq": 1}'), ("a", "s", "f", 2, "[1]"), ("a", "s", "f", 3, None)], "platform string, session_id string, file string, pos long, line string")
+    for rows in (codex.events(star_frames.codex_frames(spark, "/root/testdata/sf0.001")), tables.usage_rows(lines)):
+        below = rows._jdf.queryExecution().optimizedPlan().toString().split("Generate", 1)[1]
+        assert "Filter" not in below
+    assert [r.pos for r in json_frames(lines).collect()] == [1]
