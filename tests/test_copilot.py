@@ -1,7 +1,9 @@
 """Accounting and attribution of the six-call session, and turn assembly of a small transcript."""
 
 import json
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import accounting as A
@@ -284,3 +286,31 @@ def test_small_files_are_spread_over_the_cores(spark):
     cores = spark.sparkContext.defaultParallelism
     for rows in (star_frames.copilot_records(spark, "/root/testdata/sf0.01"), star_frames.copilot_database(spark, "/root/testdata/sf0.01")):
         assert sum(n > 0 for n in rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()) >= min(cores, 2)
+
+
+def test_sessions_are_counted_once_for_all_scans(spark, monkeypatch):
+    from spanloom.functions import ordered
+    from spanloom.plans import projection as P
+    from spanloom.sources import star_frames
+
+    rows = spark.range(100).selectExpr("id % 2 as s", "id as pos")
+    assert ordered.whole_keys(rows, ["s"], 50) and not ordered.whole_keys(rows, ["s"], 49)
+    monkeypatch.setattr(ordered, "large_keys", lambda *a: pytest.fail("a scan counts its keys again"))
+    d = "/root/testdata/sf0.001"
+    tables = P.projection(star_frames.copilot_records(spark, d), star_frames.copilot_database(spark, d), F.lit("key"), F.lit("key"), F.col("generation"))
+    assert tables["attributions"].count() and tables["pending"].count()
+
+
+def test_cut_lineage_leaves_no_shuffle_files(spark):
+    from spanloom.session import cut_lineage
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = shuffles()
+    out = cut_lineage(spark.range(100_000).selectExpr("id % 9999 as k", "id").groupBy("k").count())
+    for _ in range(50):
+        left = shuffles() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 9999
