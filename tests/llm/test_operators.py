@@ -491,6 +491,31 @@ def test_pieces_are_the_longest_that_are_equal_enough():
         assert all(j - i >= 10 and same[i] and same[j - 1] and same[i:j].mean() >= 0.8 - 1e-9 for i, j in got)
         assert all(a[1] <= b[0] for a, b in zip(sorted(got), sorted(got)[1:]))
 
+def test_seeds_are_dealt_in_bytes_and_meet_their_first_occurrence(spark):
+    rng = np.random.default_rng(5)
+    for kind in (np.uint64, np.int64, np.int32):
+        values = rng.integers(0, 1 << 31, 100).astype(kind)
+        assert (chaining.plain(chaining.planes(values), kind) == values).all()
+    texts = ["a b c d e", "x a b c d", "a b c d a b c d", "p q r s p q r s"]
+    docs = table(spark, [(i, x, None, None, None) for i, x in enumerate(texts)]).select("doc_id", "text")
+    dealt = chaining.seeds(docs, 4, 1)
+    assert dealt.columns == ["bucket", "seeds", "docs", "words"]
+    rows = chaining.met(dealt).collect()
+    assert sorted((r.doc_id, r.other_id, r.x, r.y) for r in rows if r.doc_id is not None) == [(1, 0, 1, 0), (2, 0, 0, 0), (2, 0, 4, 0)]
+    assert len({r.place for r in rows if r.place is not None}) == 2
+
+
+def test_every_passage_shares_the_prints_that_are_asked_for():
+    assert chaining.sure(4, 50, 0.8) == 7 and chaining.sure(8, 50, 0.8) == 1
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        n = int(rng.integers(50, 90))
+        a = rng.integers(1, 1 << 62, n).astype(np.uint64)
+        b = a.copy()
+        changed = rng.choice(np.arange(1, n - 1), n // 5, replace=False)
+        b[changed] = rng.integers(1, 1 << 62, len(changed)).astype(np.uint64)
+        assert np.isin(chaining.prints(a, 4), chaining.prints(b, 4)).sum() >= 7
+
 
 # --- op1 ---------------------------------------------------------------------------------------
 def test_rollup_commits_once_and_compacts(spark, tmp_path):
