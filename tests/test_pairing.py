@@ -4,6 +4,7 @@ import random
 from collections import defaultdict, deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.operators import pairing as P
 
@@ -191,6 +192,29 @@ def test_owner_is_the_narrowest_window(spark):
     assert got == {5: "a", 12: "b", 18: "b", 24: "c", 200: None, 18_000: "a", 7: None}
 
 
+def test_points_in_windows_of_all_lengths(spark):
+    """Windows from one to 2^51 seqs against every point; a window makes two rows at most, so long ones need no cell for every 4096 seqs."""
+    rnd = random.Random(5)
+    lengths = [0, 1, 7, 8, 9, 33, 500, 4096, 70_000, 10**9, 2**51]
+    windows = [(g, f"c{i}", s := rnd.choice([0, 5, 8, 4095, 10**9, rnd.randint(0, 10**6)]), s + rnd.choice(lengths)) for i in range(120) for g in [rnd.choice("ab")]]
+    windows += [("a", "none", 5, None), ("a", "back", 9, 3)]
+    points = {("a", p) for _, _, a, b in windows if b is not None for p in (a - 1, a, a + 1, b - 1, b, b + 1) if p >= 0}
+    points = sorted(points | {(g, rnd.randint(0, 2 * 10**6)) for g in "abz" for _ in range(50)})
+    spans = spark.createDataFrame([("p", "s", *w) for w in windows], "platform string, session_id string, generation string, child_id string, start_seq bigint, stop_seq bigint")
+    events = spark.createDataFrame([("p", "s", *e) for e in points], "platform string, session_id string, generation string, seq bigint")
+    for width in (8, 4096):
+        got = sorted((r.generation, r.seq, r.child_id) for r in P.events_for_subagent(events, spans, width=width).collect())
+        assert got == sorted((g, p, c) for g, p in points for h, c, a, b in windows if g == h and b is not None and a < p <= b)
+    narrow = defaultdict(list)
+    for g, c, a, b in windows:
+        if b is not None and a <= b:
+            narrow[c] = [a, b]
+    owners = {r.seq: r.owner for r in P.owning_agent(events.where("generation = 'a'").withColumn("agent_id", F.lit("")), spans.withColumn("agent_id", F.col("child_id"))).collect()}
+    for seq, owner in owners.items():
+        fits = sorted((b - a, a) for a, b in narrow.values() if a <= seq <= b)
+        assert (owner is None) == (not fits) and (owner is None or (narrow[owner][1] - narrow[owner][0], narrow[owner][0]) == fits[0])
+
+
 def test_overlaps_of_all_lengths(spark):
     """Windows from seconds to decades against every pair; missing ends overlap nothing, and their windows stay on request."""
     import random
