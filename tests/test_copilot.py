@@ -1,6 +1,7 @@
 """Accounting and attribution of the six-call session, and turn assembly of a small transcript."""
 
 import json
+import re
 import time
 
 import pytest
@@ -314,3 +315,28 @@ def test_cut_lineage_leaves_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not left and out.count() == 9999
+
+
+def test_a_record_gives_its_event_and_requests_in_one_pass(spark):
+    """Requests follow their message; those without an id, and what other kinds call requests, give none.  Records are read once."""
+    asks = [{"toolCallId": "t1", "name": "bash"}, {"toolCallId": "", "name": "x"}, None, {"toolCallId": "t2"}]
+    events = transcript(spark, [
+        ("assistant.message", None, ix("i1", "0", toolRequests=asks)), ("user.message", None, ix("i1", toolRequests=asks)), ("assistant.message", None, ix("i1", toolRequests="none")),
+        ("my.error", None, {}), ("other", None, {"toolCallId": "t3", "toolName": "ls"}),
+    ])
+    rows = {(r.pos, r.id, r.kind, r.tool_call_id, r.tool_name) for r in events.collect()}
+    own = "copilot:event:e"
+    assert rows == {
+        (0, f"{own}0", "assistant_message", None, None), (0, f"{own}0:tool:t1", "tool_request", "t1", "bash"), (0, f"{own}0:tool:t2", "tool_request", "t2", None), (1, f"{own}1", "user_prompt", None, None),
+        (2, f"{own}2", "assistant_message", None, None), (3, f"{own}3", "error", None, None), (4, f"{own}4", "unknown", "t3", "ls"),
+    }
+    assert "Union" not in events._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_are_sorted_by_the_session_before_the_platform(spark):
+    from spanloom.functions.ordered import scan
+
+    df = spark.createDataFrame([("p", "s", 1)], "platform string, session_id string, pos bigint")
+    plan = scan(df, ["platform", "session_id"], "pos", sums={"n": F.lit(1)}, whole=True)._jdf.queryExecution().sparkPlan().toString()
+    keys = re.findall(r"windowspecdefinition\((\w+)#", plan)
+    assert keys and set(keys) == {"session_id"}
