@@ -340,3 +340,18 @@ def test_rows_are_sorted_by_the_session_before_the_platform(spark):
     plan = scan(df, ["platform", "session_id"], "pos", sums={"n": F.lit(1)}, whole=True)._jdf.queryExecution().sparkPlan().toString()
     keys = re.findall(r"windowspecdefinition\((\w+)#", plan)
     assert keys and set(keys) == {"session_id"}
+
+
+def test_following_pointers_broadcasts_no_stored_ids(spark, monkeypatch):
+    """Millions of stored ids are a few MB of file, so a side that looks small may not fit the driver."""
+    from spanloom.operators import lineage
+
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    cut = lineage.cut_lineage
+    monkeypatch.setattr(lineage, "cut_lineage", lambda df: plans.append(plan(df)) or cut(df))
+    nodes = spark.range(64).selectExpr("'p' as platform", "'s' as session_id", "id", "case when id % 16 > 0 then id - 1 when id = 48 then 63 end as up")
+    out = lineage.resolve_roots(nodes, ["platform", "session_id"], "id", "up", F.expr("id % 16 = 0 and id < 48"), "root")
+    assert out.columns == [*nodes.columns, "root"]
+    assert {(r.id, r.root) for r in out.collect()} == {(i, i - i % 16 if i < 48 else None) for i in range(64)}
+    assert len(plans) > 2 and not any("Broadcast" in p for p in [*plans, plan(out)])
