@@ -517,6 +517,56 @@ def test_every_passage_shares_the_prints_that_are_asked_for():
         assert np.isin(chaining.prints(a, 4), chaining.prints(b, 4)).sum() >= 7
 
 
+@pytest.mark.parametrize("part", [3, 2048])
+def test_all_occurrences_meet_as_the_edges_of_runs(spark, part):
+    """Every equal 4 words of two documents lie in a run that is told by its ends, also of seeds that are cut into parts."""
+    rng = random.Random(part)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randrange(0, 30))) for _ in range(12)]
+    texts += ["k l m n o p"] * 9
+    want = set()
+    for a, s in enumerate(t.split() for t in texts):
+        for b, o in enumerate(t.split() for t in texts[:a]):
+            want |= {(a, b, x, y) for x in range(len(s) - 3) for y in range(len(o) - 3) if s[x : x + 4] == o[y : y + 4]}
+    docs = table(spark, [(i, x, None, None, None) for i, x in enumerate(texts)]).select("doc_id", "text")
+    rows = chaining.every(chaining.seeds(docs, 4, 1, sides=True), part).collect()
+    pairs = {}
+    for r in rows:
+        pairs.setdefault((r.doc_id, r.other_id), []).append((r.x, r.y, r.edge))
+    got = set()
+    for (a, b), cells in pairs.items():
+        for _, x, y, size in zip(*chaining.runs(np.zeros(len(cells), int), *(np.array(c) for c in zip(*cells)), 4)):
+            got |= {(a, b, int(x) + i, int(y) + i) for i in range(size - 3)}
+    assert got == want and len(rows) == sum(map(len, pairs.values())) < len(want)
+
+
+def test_edited_passage_of_phrases_that_all_occur_earlier_elsewhere(spark):
+    """Each four words of both documents are first met in another one, and no six words are without an edit."""
+    rng = random.Random(20)
+    words = sentence(rng, 80).split()
+    texts = [" ".join([*sentence(rng, 20).split(), *words[i : i + 6], *sentence(rng, 20).split()]) for i in range(0, 75)]
+    edited = list(words)
+    for i in range(5, 76, 6):
+        edited[i] = "changed" + str(i)
+    n = len(texts)
+    texts += [" ".join([sentence(rng, 20), *x, sentence(rng, 20)]) for x in (words, edited)]
+    got = chaining.passages(table(spark, [(i, x, None, None, None) for i, x in enumerate(texts)])).collect()
+    assert [tuple(r)[:7] for r in got] == [(n + 1, n, 20, 100, 20, 100, 12)]
+
+
+def test_a_third_copy_is_linked_with_both_earlier_ones(spark):
+    rng = random.Random(21)
+    shared = sentence(rng, 60)
+    texts = [" ".join([sentence(rng, 9), shared, sentence(rng, 9)]) for _ in range(3)]
+    got = chaining.passages(table(spark, [(i, x, None, None, None) for i, x in enumerate(texts)])).collect()
+    assert sorted((r.doc_id, r.match_doc_id, r.start, r.end, r.n_edits) for r in got) == [(1, 0, 9, 69, 0), (2, 0, 9, 69, 0), (2, 1, 9, 69, 0)]
+
+
+def test_pairs_that_share_too_few_seeds_are_no_candidates():
+    x = np.array([0, 20, 40, 60, 80, 94])
+    assert not chaining.shares(x, np.full(6, 4), 4, 7, 95) and chaining.shares(x, np.array([4] * 5 + [5]), 4, 7, 95)
+    assert not chaining.shares(x * 2, np.array([4] * 5 + [5]), 4, 7, 95) and chaining.shares(x[:1], np.array([10]), 4, 7, 95)
+
+
 # --- op1 ---------------------------------------------------------------------------------------
 def test_rollup_commits_once_and_compacts(spark, tmp_path):
     r = rollup.Rollup(spark, f"file://{tmp_path}/r")
