@@ -355,3 +355,19 @@ def test_following_pointers_broadcasts_no_stored_ids(spark, monkeypatch):
     assert out.columns == [*nodes.columns, "root"]
     assert {(r.id, r.root) for r in out.collect()} == {(i, i - i % 16 if i < 48 else None) for i in range(64)}
     assert len(plans) > 2 and not any("Broadcast" in p for p in [*plans, plan(out)])
+
+
+def test_usage_rows_meet_what_they_chose_once(spark):
+    """Claims are counted over narrow rows, so the wide ones are read once to put the result together; a source id is text from its parts."""
+    from spanloom.plans import projection as P
+    from spanloom.sources import star_frames
+
+    d = "/root/testdata/sf0.001"
+    tables = P.projection(star_frames.copilot_records(spark, d), star_frames.copilot_database(spark, d), F.lit("key"), F.lit("key"), F.col("generation"))
+    usage = spark.createDataFrame([], "platform string, session_id string, logical_call_id string, primary_key string, usage_source_id string, turn_index bigint, agent_id string, parent_tool_call_id string, model string, finish_reason string, initiator string")
+    plan = AT.attribute_usage(tables["calls"], tables["call_tools"], usage)._jdf.queryExecution().analyzed().toString()
+    assert sum("Relation [" in line and "usage_source_id" in line for line in plan.split("\n")) == 1
+    assert dict(tables._revisions.dtypes)["source"] == "struct<source_key:string,primary_key:string,digest:binary>" and "source_id" not in tables._revisions.columns
+    told = copilot.usage_snapshot(star_frames.copilot_database(spark, d), F.lit("key"), F.col("generation"))
+    named = tables["attributions"].select("session_id", "logical_call_id", F.col("usage_source_id").alias("source_id"))
+    assert named.count() and named.join(told, ["session_id", "logical_call_id", "source_id"], "left_anti").isEmpty()
